@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import line_dedup, mixing, quality
+from . import line_dedup, mixing, quality, substring_dedup
 
 QUERIES = {
     "op3_source_mix": mixing.op3_source_mix,
     "op7_quality": quality.op7_quality,
     "op8_line_dedup": line_dedup.op8_line_dedup,
+    "op10_substring_dedup": substring_dedup.op10_substring_dedup,
 }
 
 SQL = {"op3_source_mix": mixing.OP3_SQL, "op8_line_dedup": line_dedup.OP8_SQL}
