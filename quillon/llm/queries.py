@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import line_dedup, mixing, quality, substring_dedup
+from . import line_dedup, mixing, ngram_join, quality, substring_dedup
 
 QUERIES = {
     "op3_source_mix": mixing.op3_source_mix,
+    "op5_ngram_jaccard": ngram_join.op5_ngram_jaccard,
     "op7_quality": quality.op7_quality,
     "op8_line_dedup": line_dedup.op8_line_dedup,
     "op10_substring_dedup": substring_dedup.op10_substring_dedup,
