@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from . import line_dedup, mixing, ngram_join, quality, substring_dedup
+from . import license_scan, line_dedup, mixing, ngram_join, quality, secret_scan, substring_dedup
 
 QUERIES = {
+    "op2_secret_scan": secret_scan.op2_secret_scan,
     "op3_source_mix": mixing.op3_source_mix,
     "op5_ngram_jaccard": ngram_join.op5_ngram_jaccard,
+    "op6_license_scan": license_scan.op6_license_scan,
     "op7_quality": quality.op7_quality,
     "op8_line_dedup": line_dedup.op8_line_dedup,
     "op10_substring_dedup": substring_dedup.op10_substring_dedup,
 }
 
-SQL = {"op3_source_mix": mixing.OP3_SQL, "op8_line_dedup": line_dedup.OP8_SQL}
+SQL = {"op3_source_mix": mixing.OP3_SQL, "op6_license_scan": license_scan.OP6_SQL, "op8_line_dedup": line_dedup.OP8_SQL}

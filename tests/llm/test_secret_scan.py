@@ -1,0 +1,78 @@
+import base64
+import bz2
+import gzip
+import hashlib
+import re
+import zlib
+from urllib.parse import quote
+
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from quillon.llm.secret_scan import KINDS, op2_secret_scan, scan, scan_secrets
+
+B64 = lambda x: base64.b64encode(x if isinstance(x, bytes) else x.encode()).decode()
+KEY = "password=hunter2hunter2"
+
+
+def base(text):
+    """The contract, said plainly."""
+    out = []
+    for k, (name, pattern, group, least) in enumerate(KINDS):
+        for m in re.finditer(pattern, text or ""):
+            if len(m[group]) >= least:
+                out.append((m.start(), k, m.end()))
+    return sorted(out)
+
+
+@given(st.text(alphabet="pPaswordtokenTOKEN=:\"' 0123456789abcdefAKIAKIA%x_iy\u017f\u212a\u00e9\n", max_size=200))
+@settings(max_examples=300, deadline=None)
+def test_base_spans(text):
+    got, spans, _ = scan(text)
+    assert got == base(text) and set(got) <= set(spans)
+
+
+@pytest.mark.parametrize("wrap", [
+    lambda x: "".join(f"%{b:02X}" for b in x.encode()), quote, lambda x: "".join(f"\\u{ord(c):04x}" for c in x), lambda x: "".join(f"&#{ord(c)};" for c in x), B64,
+    lambda x: B64(gzip.compress(x.encode())), lambda x: B64(zlib.compress(x.encode())), lambda x: B64(bz2.compress(x.encode())), lambda x: B64(B64(x)),
+    lambda x: quote(B64(gzip.compress(B64(x).encode())), safe=""), lambda x: B64("".join(f"\\u{ord(c):04x}" for c in x)), lambda x: B64(gzip.compress(gzip.compress(x.encode()))),
+])
+def test_layers_round_trip(wrap):
+    own = wrap("key " + KEY + "!")
+    text = "é before " + own + " after"
+    _, spans, inner = scan(text)
+    at = text.index(own)
+    assert any(m == KEY and at <= a < b <= at + len(own) for a, _, b, _, m in inner)
+    assert any(k == 0 and at <= a and b <= at + len(own) for a, k, b in spans)
+
+
+def test_exact_maps():
+    text = "x " + "password%3Dhunter2%68unter2" + " y"
+    _, spans, inner = scan(text)
+    assert (2, 0, len(text) - 2) in spans and inner[0][4] == KEY
+    text = "z " + B64("abc" + KEY)  # the match begins at a group of four
+    (a, k, b), = scan(text)[1]
+    assert (a, k, b) == (6, 0, len(text) - 1)  # without the padding
+
+
+def test_cycles_end():
+    for text in ("%25" * 2000, "%252525252525", "&#38;#38;#38;", "QUFB" * 100, "\\u005cu005cu005c"):
+        scan(text)
+
+
+def test_query(spark, sf):
+    rows = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    got = op2_secret_scan(spark, sf).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        want = base(rows[r.doc_id])
+        names = ",".join(f"{KINDS[k][0]}:{a}:{b}" for a, k, b in want)
+        assert [r.n_assign, r.n_access, r.n_hex] == [sum(x[1] == k for x in want) for k in range(3)]
+        assert r.base_sha256 == hashlib.sha256(names.encode()).hexdigest() and set(filter(None, names.split(","))) <= set(r.spans.split(","))
+
+
+def test_edges(spark):
+    df = spark.createDataFrame([(None, KEY, 1), (1, None, 1), (2, "", 1), (3, KEY, 1), (3, KEY, 1)], "doc_id long, text string, spans int")
+    assert sorted((r.doc_id or 0, r.spans) for r in scan_secrets(df).collect()) == [(0, "assign:0:23"), (1, ""), (2, ""), (3, "assign:0:23"), (3, "assign:0:23")]
+    assert scan_secrets(df.limit(0)).collect() == []
