@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import license_scan, line_dedup, mixing, ngram_join, quality, secret_scan, substring_dedup
+from . import embedding_dedup, license_scan, line_dedup, mixing, ngram_join, quality, secret_scan, substring_dedup
 
 QUERIES = {
     "op2_secret_scan": secret_scan.op2_secret_scan,
@@ -11,6 +11,7 @@ QUERIES = {
     "op6_license_scan": license_scan.op6_license_scan,
     "op7_quality": quality.op7_quality,
     "op8_line_dedup": line_dedup.op8_line_dedup,
+    "op9_embedding_dedup": embedding_dedup.op9_embedding_dedup,
     "op10_substring_dedup": substring_dedup.op10_substring_dedup,
 }
 
