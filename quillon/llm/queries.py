@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import embedding_dedup, license_scan, line_dedup, mixing, ngram_join, quality, secret_scan, substring_dedup
+from . import embedding_dedup, html_text, license_scan, line_dedup, mixing, ngram_join, quality, secret_scan, substring_dedup
 
 QUERIES = {
     "op2_secret_scan": secret_scan.op2_secret_scan,
     "op3_source_mix": mixing.op3_source_mix,
+    "op4_html_text": html_text.op4_html_text,
     "op5_ngram_jaccard": ngram_join.op5_ngram_jaccard,
     "op6_license_scan": license_scan.op6_license_scan,
     "op7_quality": quality.op7_quality,
