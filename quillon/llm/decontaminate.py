@@ -150,17 +150,21 @@ def lcs(a: tuple[bytes, ...], b: list[bytes]) -> int:
     return len(a) - v.bit_count()
 
 
-def best_match(item: Item, text: list[bytes], start: int) -> tuple[float, float, int]:
-    """The best (share of the item's words in a common subsequence, share of its answer) near a passage, and where."""
+def best_match(item: Item, text: list[bytes], start: int, least: float) -> tuple[float, float, int]:
+    """The best (share of the item's words in a common subsequence, share of its answer) near a passage, and where;
+    a share of 0 if none reaches `least`."""
     n = len(item.words)
     width, step = n + max(4, n // 4), max(1, n // 6)
     best = (0.0, 0.0, start)
     lo, hi = max(0, start - n), min(len(text), start + 2 * HALF + n)
+    near = set(text[lo:hi])
+    if sum(w in near for w in item.words) < least * n:
+        return best
     # a window that has few of the item's words can't hold a long subsequence
     count = Counter(item.words)
     for at in range(lo, max(lo + 1, hi - width + step), step):
         own = text[at : at + width]
-        if sum((count & Counter(own)).values()) > best[0] * n:
+        if sum((count & Counter(own)).values()) >= max(least, best[0]) * n:
             share = lcs(item.words, own) / n
             if share > best[0]:
                 best = (share, len(item.answer.intersection(own)) / max(1, len(item.answer)), at)
@@ -173,7 +177,7 @@ def verify(batches: Iterator[pa.RecordBatch], items: list[Item], sure: float, li
         for doc, text, hits in zip(b["doc_id"].to_pylist(), b["text"].to_pylist(), b["hits"].to_pylist(), strict=True):
             ws, best = words(text), {}
             for h in hits:
-                share, answer, at = best_match(items[h["item"]], ws, h["half"] * HALF)
+                share, answer, at = best_match(items[h["item"]], ws, h["half"] * HALF, likely)
                 if (share >= sure or (share >= likely and answer >= 0.5)) and share > best.get(h["item"], (0,))[0]:
                     best[h["item"]] = (share, answer, at, h["cosine"])
             out += [(doc, items[i].item_id, *x) for i, x in best.items()]
