@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import embedding_dedup, html_text, license_scan, line_dedup, mixing, ngram_join, quality, secret_scan, substring_dedup
+from . import decontaminate, embedding_dedup, html_text, license_scan, line_dedup, mixing, ngram_join, quality, secret_scan, substring_dedup
 
 QUERIES = {
+    "op1_decontaminate": decontaminate.op1_decontaminate,
     "op2_secret_scan": secret_scan.op2_secret_scan,
     "op3_source_mix": mixing.op3_source_mix,
     "op4_html_text": html_text.op4_html_text,
