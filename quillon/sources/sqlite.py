@@ -1,0 +1,58 @@
+"""Reader for tables of SQLite files, in ranges of rowids."""
+
+from __future__ import annotations
+
+import sqlite3
+from collections.abc import Iterator
+
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+
+from .tables import affinity
+
+
+class Rows(InputPartition):
+    def __init__(self, low: int, high: int):
+        super().__init__((low, high))
+        self.low, self.high = low, high
+
+
+class SQLiteSource(DataSource):
+    """spark.read.format("sqlite_file").option("path", file).option("table", name); the file must be on every executor."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "sqlite_file"
+
+    def _open(self) -> sqlite3.Connection:
+        return sqlite3.connect(f"file:{self.options['path']}?mode=ro", uri=True)
+
+    def _quoted(self) -> str:
+        return '"' + self.options["table"].replace('"', '""') + '"'
+
+    def schema(self) -> str:
+        with self._open() as con:
+            columns = con.execute(f"PRAGMA table_info({self._quoted()})").fetchall()
+        return ", ".join(["_rowid bigint", *(f"`{c[1]}` {affinity(c[2])}" for c in columns)])
+
+    def reader(self, schema) -> DataSourceReader:
+        return SQLiteReader(self, schema)
+
+
+class SQLiteReader(DataSourceReader):
+    def __init__(self, source: SQLiteSource, schema):
+        self.source, self.types = source, [f.dataType.typeName() for f in schema]
+
+    def partitions(self) -> list[Rows]:
+        n = int(self.source.options.get("partitions", 8))
+        with self.source._open() as con:
+            low, high = con.execute(f"SELECT min(rowid), max(rowid) FROM {self.source._quoted()}").fetchone()
+        if low is None:
+            return [Rows(0, 0)]
+        step = -(-(high - low + 1) // n)
+        return [Rows(a, min(a + step, high + 1)) for a in range(low, high + 1, step)]
+
+    def read(self, part: Rows) -> Iterator[tuple]:
+        cast = {"long": int, "double": float, "string": lambda x: x if isinstance(x, str) else str(x), "binary": lambda x: x if isinstance(x, bytes) else str(x).encode()}
+        with self.source._open() as con:
+            for row in con.execute(f"SELECT rowid, * FROM {self.source._quoted()} WHERE rowid >= ? AND rowid < ?", (part.low, part.high)):
+                yield tuple(None if v is None else cast[t](v) for v, t in zip(row, self.types, strict=True))
