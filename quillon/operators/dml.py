@@ -75,15 +75,18 @@ def add_column(df: DataFrame, name: str, kind: str) -> DataFrame:
 def apply_log(df: DataFrame, log: DataFrame, key: str) -> DataFrame:
     """The table after a log of changes (lsn, op, and the table's columns): insert, update and delete of whole rows by key.
 
-    The last change of a key counts, so replaying a log twice, or a part of it again, changes nothing. A hot key's changes
-    are reduced before the shuffle; an insert of a key that the table has is skipped, as is an update of one that it lacks.
+    As if change by change in order of lsn: an insert of a key that is there and an update of one that isn't do nothing. So
+    what counts is, after a key's last delete, its first insert and its last update. These are reduced before the shuffle,
+    whatever the number of changes of a key; replaying a log twice, or a part of it again, changes nothing.
     """
     names = [c for c in df.columns if c != key]
-    first, gone = F.min_by("op", "lsn").alias("_first"), F.max(F.col("op") == "delete").alias("_gone")
-    last = log.groupBy(key).agg(F.max_by(F.struct("op", *names), "lsn").alias("_new"), first, gone)
-    both = df.withColumn("_there", F.lit(True)).join(last, key, "full")
-    there = F.coalesce("_there", F.lit(False))
-    touched = F.col("_new").isNotNull()
-    kept = both.where(~(touched & (F.col("_new.op") == "delete")) & (there | (F.col("_first") == "insert")))
-    fresh = touched & ~(there & (F.col("_new.op") == "insert") & ~F.col("_gone"))
-    return kept.select(*[F.col(c) if c == key else F.when(fresh, F.col(f"_new.{c}")).otherwise(F.col(c)).alias(c) for c in df.columns])
+    row = F.struct(F.col("lsn"), *names)
+    gone = log.where("op = 'delete'").groupBy(key).agg(F.max("lsn").alias("_gone"))
+    live = log.join(gone, key, "left").where("_gone is null or lsn > _gone")
+    last = live.groupBy(key).agg(F.min_by(F.when(F.col("op") == "insert", row), F.when(F.col("op") == "insert", F.col("lsn"))).alias("_in"), F.max_by(F.when(F.col("op") == "update", row), F.when(F.col("op") == "update", F.col("lsn"))).alias("_up"))
+    both = df.withColumn("_there", F.lit(True)).join(gone, key, "full").join(last, key, "full")
+    there = F.coalesce("_there", F.lit(False)) & F.col("_gone").isNull()
+    valid = F.col("_up").isNotNull() & (there | (F.col("_up.lsn") > F.col("_in.lsn")))
+    new = F.when(valid, F.col("_up")).when(~there, F.col("_in"))
+    out = both.where(there | F.col("_in").isNotNull()).withColumn("_new", new)
+    return out.select(*[F.col(c) if c == key else F.when(F.col("_new").isNotNull(), F.col(f"_new.{c}")).otherwise(F.col(c)).alias(c) for c in df.columns])

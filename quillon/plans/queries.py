@@ -162,7 +162,7 @@ def _fts(name: str, query_text: str, columns: list[str], weights: tuple = (), fi
     )
 
 
-_fts("fts_single", "ereat", ["text"], limit=20)
+_fts("fts_single", "the", ["text"], limit=20)
 _fts("fts_multi_and", "tion the", ["text"])
 _fts("fts_weighted", "src3 the", ["source", "text"], weights=(5.0, 1.0))
 _fts("fts_filtered_eq", "tion", ["text"], filters=("lang=en",), where="lang = 'en'")
@@ -170,10 +170,10 @@ _fts("fts_filtered_contains", "the", ["text"], filters=("source~=SRC1",), where=
 _fts("fts_filtered_range", "the", ["text"], filters=("n_chars>=500", "n_chars<='2000'"), where="n_chars >= 500 AND n_chars <= 2000")
 _fts("fts_all_hits", "the of", ["text"], limit=None)
 query("fts_stats", fts_sql(["tion", "the"], ["text"], [], limit=None, select="""(SELECT count(*) FROM documents) AS total_rows, (SELECT round(avg_len, 3) FROM st) AS avg_doc_len, count(*) AS rows_with_term, CAST(coalesce(sum(hits), 0) AS BIGINT) AS total_hits""").replace("ORDER BY score, doc_id", ""))(lambda s, d: S.search_stats(table(s, d, "documents"), "doc_id", ["text"], "tion the"))
-query("fts_hydrated", fts_sql(["ereat"], ["text"], [], select="doc_id, round(score, 9) AS score, hits, (SELECT source FROM documents x WHERE x.doc_id = doc_id_) AS source").replace("SELECT r.* FROM r", "SELECT r.*, r.doc_id AS doc_id_ FROM r"))(
-    lambda s, d: S.hydrate(S.search(t := table(s, d, "documents"), "doc_id", ["text"], "ereat"), t, "doc_id", ["source"]).select("doc_id", F.round("score", 9).alias("score"), "hits", "source")
+query("fts_hydrated", fts_sql(["the"], ["text"], [], select="doc_id, round(score, 9) AS score, hits, (SELECT source FROM documents x WHERE x.doc_id = doc_id_) AS source").replace("SELECT r.* FROM r", "SELECT r.*, r.doc_id AS doc_id_ FROM r"))(
+    lambda s, d: S.hydrate(S.search(t := table(s, d, "documents"), "doc_id", ["text"], "the"), t, "doc_id", ["source"]).select("doc_id", F.round("score", 9).alias("score"), "hits", "source")
 )
-query("fts_json")(lambda s, d: S.hydrated_json(S.search(t := table(s, d, "documents"), "doc_id", ["text"], "ereat"), t, "doc_id", ["source", "lang"]))
+query("fts_json")(lambda s, d: S.hydrated_json(S.search(t := table(s, d, "documents"), "doc_id", ["text"], "the"), t, "doc_id", ["source", "lang"]))
 query("fts_stemmed")(lambda s, d: S.search(table(s, d, "documents"), "doc_id", ["text"], "tions ered", stem="light").select("doc_id", F.round("score", 9).alias("score"), "hits", "doc_len"))
 LINE = "' ' || array_to_string(list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda x: x <> ''), ' ') || ' '"
 query("fts_phrase", f"SELECT doc_id FROM documents WHERE contains({LINE}, ' of the ')")(lambda s, d: S.phrase(table(s, d, "documents"), "doc_id", ["text"], "of the"))

@@ -78,7 +78,7 @@ def scored(hits: DataFrame, sizes: DataFrame, key: str, terms: Sequence[str], we
     by_term = hits.groupBy(key, "term").agg(F.sum(F.col("tf") * weight).alias("w"), F.sum("tf").alias("tf"), *[F.sum(F.when(F.col("col") == i, F.col("tf")).otherwise(0)).alias(f"_c{i}") for i in range(n_columns)])
     stats = sizes.agg(F.count(F.lit(1)).alias("n"), (F.sum("doc_len") / F.count(F.lit(1))).alias("avg_len"))  # one row
     df = by_term.groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))  # a row for each term of the query
-    rows = by_term.join(F.broadcast(df), "term").join(sizes, key).crossJoin(F.broadcast(stats)).withColumn("m", F.element_at(times, "term"))
+    rows = by_term.join(F.broadcast(df), "term").join(sizes, key).crossJoin(F.broadcast(stats)).withColumn("m", F.element_at(times, F.col("term")))
     score = bm25(F.col("n"), F.col("n_t"), F.col("w"), F.col("doc_len"), F.col("avg_len"))
     out = rows.groupBy(key, "doc_len").agg(F.sum(score * F.col("m")).alias("score"), F.sum(F.col("tf") * F.col("m")).alias("hits"), F.array(*[F.sum(F.col(f"_c{i}") * F.col("m")) for i in range(n_columns)]).alias("column_hits"), F.count(F.lit(1)).alias("_terms"))
     return out.where(F.col("_terms") == len(often)).select(key, "score", "hits", "doc_len", "column_hits")
