@@ -7,7 +7,7 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import components, materialize, small, table
@@ -16,7 +16,11 @@ from .words import BASE, WindowHashes, WordHashes, mixed
 
 #: Buckets of the n-gram frequency table: a fixed size, whatever the corpus. Collisions only change which n-grams count
 #: as rare, not the result.
-BUCKETS, BLOCK = 1 << 21, 1 << 15
+BUCKETS, BLOCK = 1 << 22, 1 << 16
+#: Linked documents share at least so many of their rarest n-grams (all that must agree, if these are fewer).
+SHARED = 4
+#: Documents of an n-gram with no more than so many are paired one by one; those of other n-grams meet in blocks.
+PAIRED = 32
 #: A block of documents holds about so many documents and n-grams at most.
 BLOCK_DOCS, BLOCK_GRAMS = 512, 400_000
 
@@ -37,12 +41,12 @@ class Shingles:
 
 
 def frequencies(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
-    """How many texts of this task have an n-gram of each hash bucket, in blocks; counts stop at 65535 for a task."""
+    """How many texts of this task have an n-gram of each hash bucket, in blocks; counts stop at 255 for a task."""
     counts, shingles = np.zeros(BUCKETS, np.uint32), Shingles(width)
     for b in batches:
         for text in b["text"].to_pylist():
             np.add.at(counts, (shingles.of(text) % BUCKETS).astype(np.int64), 1)
-    low = np.minimum(counts, 65535).astype(np.uint16).reshape(-1, BLOCK)
+    low = np.minimum(counts, 255).astype(np.uint8).reshape(-1, BLOCK)
     used = np.flatnonzero(low.any(axis=1))
     yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array([low[i].tobytes() for i in used], pa.binary())], names=["block", "counts"])
 
@@ -50,20 +54,20 @@ def frequencies(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.Re
 def add_up(group: pa.Table) -> pa.Table:
     total = np.zeros(BLOCK, np.int64)
     for x in group["counts"]:
-        total += np.frombuffer(x.as_py(), np.uint16)
+        total += np.frombuffer(x.as_py(), np.uint8)
     return pa.table({"block": group["block"][:1], "counts": pa.array([np.minimum(total, 0xFFFFFFFF).astype(np.uint32).tobytes()], pa.binary())})
 
 
 def signatures(batches: Iterator[pa.RecordBatch], width: int, percent: int, table_of=None) -> Iterator[pa.RecordBatch]:
-    """(doc_id, n, set hashes, prefix): the prefix are the n - ceil(t n) + 1 rarest n-grams; two sets of Jaccard similarity
-    t or more have one of them in common."""
+    """(doc_id, n, set hashes, prefix): the prefix are the n - ceil(t n) + SHARED rarest n-grams. Sets of Jaccard similarity
+    t or more have ceil(t n) n-grams in common, so their prefixes share SHARED (or all of these, if fewer)."""
     shingles, often = Shingles(width), None if table_of is None else np.frombuffer(table_of.value, np.uint32)
     for b in batches:
         ns, one, two, prefixes = [], [], [], []
         for text in b["text"].to_pylist():
             s = shingles.of(text or b"")
             n = len(s)
-            keep = n - -(-percent * n // 100) + 1 if n else 0
+            keep = min(n, n - -(-percent * n // 100) + SHARED)
             if often is not None and keep:
                 rank = np.lexsort((s, often[(s % BUCKETS).astype(np.int64)]))[:keep]
                 prefixes.append(s[rank].view(np.int64))
@@ -140,9 +144,11 @@ def jaccard_groups(docs: DataFrame, width: int = 3, percent: int = 90) -> DataFr
     `width`-word shingles (A-Z lower-cased) have a Jaccard similarity of percent / 100 or more.
 
     1. Exact copies, and documents with equal sets, join their smallest document at once.
-    2. A fixed-size table counts n-grams by hash bucket over all documents; each document's rarest n-grams (as many as a
-       link of that similarity cannot avoid) are its row in a small incidence matrix. Documents that share one of them,
-       directly or through others, are a cluster: no link leaves it.
+    2. A fixed-size table counts n-grams by hash bucket over all documents; each document's rarest n-grams are its row in
+       a small incidence matrix: so many that linked documents have SHARED of them in common. Overlaps on n-grams of
+       PAIRED documents at most are counted pair by pair, and pairs whose sizes don't fit or whose count (with all that
+       more frequent n-grams could add) is too low are dropped. What is left, and documents that share a more frequent
+       n-gram, form clusters: no link leaves one.
     3. Clusters are cut into blocks of bounded size, by size of the sets, as a link needs sizes within that ratio; pairs
        of blocks that share no rare n-gram, or whose sizes don't fit, are dropped. Each block and pair of blocks is a
        task's sparse matrix product with its transpose; it returns no pairs but a forest with the same components.
@@ -156,7 +162,7 @@ def jaccard_groups(docs: DataFrame, width: int = 3, percent: int = 90) -> DataFr
     copied = copies(docs)
     known = docs.where("doc_id is not null and text is not null and length(text) > 0").join(small(copied.select("doc_id")), "doc_id", "left_anti")
     blocks = known.select("text").mapInArrow(partial(frequencies, width=width), "block int, counts binary").groupBy("block").applyInArrow(lambda t: add_up(t), "block int, counts binary").collect()
-    often = np.zeros((BUCKETS // BLOCK, BLOCK), np.uint32)  # BUCKETS numbers: 8 MB
+    often = np.zeros((BUCKETS // BLOCK, BLOCK), np.uint32)  # BUCKETS numbers: 16 MB
     for r in blocks:
         often[r.block] = np.frombuffer(r.counts, np.uint32)
     shared = spark.sparkContext.broadcast(often.tobytes())
@@ -170,9 +176,20 @@ def jaccard_groups(docs: DataFrame, width: int = 3, percent: int = 90) -> DataFr
 
     # the incidence matrix of rare n-grams; columns of one document go
     entries = rest.select("doc_id", "n", F.explode("prefix").alias("gram"))
-    hubs = materialize(entries.groupBy("gram").agg(F.min("doc_id").alias("hub"), F.max("doc_id").alias("_last")).where("hub < _last").select("gram", "hub"), "grams")
-    matrix = materialize(entries.join(small(hubs), "gram"), "incidence")
-    members = components(matrix.select(F.col("doc_id").alias("a"), F.col("hub").alias("b")), "clusters")
+    hubs = entries.groupBy("gram").agg(F.min("doc_id").alias("hub"), F.count(F.lit(1)).alias("docs")).where("docs > 1")
+    # two numbers and a count for each
+    shared_entries = entries.join(small(materialize(hubs, "grams"), rows=2_000_000), "gram")
+    own = Window.partitionBy("doc_id")  # a document's rare n-grams
+    need = F.least(F.lit(SHARED), F.ceil(F.col("n") * percent / 100))
+    matrix = shared_entries.withColumns({"all": F.count(F.lit(1)).over(own), "often": F.count(F.when(F.col("docs") > PAIRED, 1)).over(own), "need": need})
+    matrix = materialize(matrix.where(F.col("all") >= F.col("need")).drop("all"), "incidence")
+    few = matrix.where(F.col("docs") <= PAIRED).select("gram", "doc_id", "n", "often", "need")
+    x, y = few.alias("x"), few.alias("y")
+    fits = (F.col("x.doc_id") < F.col("y.doc_id")) & (F.least("x.n", "y.n") * 100 >= F.greatest("x.n", "y.n") * percent)
+    counted = x.join(y, (F.col("x.gram") == F.col("y.gram")) & fits).groupBy(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b"), F.least("x.often", "y.often").alias("often"), F.least("x.need", "y.need").alias("need")).agg(F.count(F.lit(1)).alias("n"))
+    close = counted.where(F.col("n") + F.col("often") >= F.col("need")).select("a", "b")
+    grouped = matrix.where(F.col("docs") > PAIRED).select(F.col("doc_id").alias("a"), F.col("hub").alias("b"))
+    members = components(materialize(close.unionAll(grouped).distinct(), "candidates"), "clusters")
     sized = matrix.select("doc_id", "n").distinct().join(members, F.col("doc_id") == F.col("id")).select("doc_id", "n", F.col("component").alias("cluster"))
     sized = materialize(sized.withColumn("band", F.floor(F.log("n") / F.lit(float(np.log(100 / percent))) + 1e-9)), "clustered")
     bands = sized.groupBy("cluster", "band").agg(F.count(F.lit(1)).alias("_d"), F.sum("n").alias("_n"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, embedding_dedup, html_text, license_scan, line_dedup, mixing, ngram_join, quality, secret_scan, substring_dedup
+from . import decontaminate, embedding_dedup, html_text, license_scan, line_dedup, mixing, ngram_join, oracles, quality, secret_scan, substring_dedup
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
@@ -17,4 +17,11 @@ QUERIES = {
     "op10_substring_dedup": substring_dedup.op10_substring_dedup,
 }
 
-SQL = {"op3_source_mix": mixing.OP3_SQL, "op6_license_scan": license_scan.OP6_SQL, "op8_line_dedup": line_dedup.OP8_SQL}
+SQL = {
+    "op3_source_mix": mixing.OP3_SQL,
+    "op5_ngram_jaccard": oracles.OP5_SQL,
+    "op6_license_scan": license_scan.OP6_SQL,
+    "op8_line_dedup": line_dedup.OP8_SQL,
+    "op9_embedding_dedup": oracles.OP9_SQL,
+    "op10_substring_dedup": oracles.OP10_SQL,
+}
