@@ -131,8 +131,9 @@ def search(batches: Iterator[pa.RecordBatch], model: Latent, cosine: float) -> I
         s[:-1][after[:-1]] += s[1:][after[:-1]]  # right to left isn't needed: numpy reads before it writes
         s /= np.maximum(np.linalg.norm(s, axis=1), 1e-9)[:, None]
         ids = b["doc_id"].to_numpy()
-        for at in range(0, len(s), 8192):
-            close = s[at : at + 8192] @ model.items.T
+        strip = max(64, (4 << 20) // len(model.items))  # the products of a strip take 16 MB
+        for at in range(0, len(s), strip):
+            close = s[at : at + strip] @ model.items.T
             i, k = np.nonzero(close >= cosine)
             yield pa.RecordBatch.from_arrays([pa.array(ids[doc[at + i]], pa.int64()), pa.array(k, pa.int32()), pa.array(half[at + i], pa.int32()), pa.array(close[i, k].astype(np.float64))], names=["doc_id", "item", "half", "cosine"])
 
@@ -241,18 +242,17 @@ def _round(known: DataFrame, bench: list, rank: int, cosine: float, sure: float,
     encoded = materialize(known.mapInArrow(lambda it: encode(it, place), "doc_id long, terms binary, spots binary"), "passages")
 
     # the items as passages, as heavy as all others together: their directions stay in the space
-    own = np.zeros((len(items), len(place)))
-    for k, x in enumerate(items):
-        for w in x.words:
-            if w in place:
-                own[k, place[w]] += idf[place[w]]
+    known_words = [np.array([place[w] for w in x.words if w in place], np.int32) for x in items]
+    own = pa.RecordBatch.from_arrays([pa.array([x.tobytes() for x in known_words], pa.binary()), pa.array([np.zeros_like(x).tobytes() for x in known_words], pa.binary())], names=["terms", "spots"])
 
     def gram(basis: np.ndarray) -> np.ndarray:
         rows = encoded.mapInArrow(lambda it: gram_times(it, idf, basis), "block int, term int, row binary").groupBy("block").applyInArrow(lambda t: add_rows(t), "term int, row binary").collect()
         out = np.zeros(basis.shape)
         for r in rows:
             out[r.term] = np.frombuffer(r.row)
-        mine = own.T @ (own @ basis)
+        mine = np.zeros(basis.shape)
+        for b in gram_times(iter([own]), idf, basis):
+            mine[b["term"].to_numpy()] = [np.frombuffer(x) for x in b["row"].to_pylist()]
         return out + mine * max(1.0, np.linalg.norm(out) / max(1e-9, np.linalg.norm(mine)))
 
     width = min(len(place), rank + 16)
@@ -261,9 +261,11 @@ def _round(known: DataFrame, bench: list, rank: int, cosine: float, sure: float,
     z = gram(basis)
     values, turn = np.linalg.eigh((basis.T @ z + z.T @ basis) / 2)
     space = basis @ turn[:, np.argsort(-values)[: min(rank, width)]]
-    queries = own @ space
+    queries = np.zeros((len(items), space.shape[1]), np.float32)
+    terms, row, which, _ = halves(own)
+    queries[which] = sums(terms, row, (space * idf[:, None]).astype(np.float32))
     queries /= np.maximum(np.linalg.norm(queries, axis=1), 1e-9)[:, None]
-    model = Latent(place, idf, space.astype(np.float32), queries.astype(np.float32))
+    model = Latent(place, idf, space.astype(np.float32), queries)
     hits = encoded.mapInArrow(lambda it: search(it, model, cosine), "doc_id long, item int, half int, cosine double")
     hits = materialize(hits.groupBy("doc_id").agg(F.collect_list(F.struct("item", "half", "cosine")).alias("hits")), "candidates")  # as long as a document at most, times its likely items
     return known.join(small(hits, size=F.size("hits") * 24 + 16), "doc_id").select("doc_id", "text", "hits").mapInArrow(lambda it: verify(it, items, sure, likely), PAIRS)
