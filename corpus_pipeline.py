@@ -26,8 +26,9 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The smallest doc_id of each group of near duplicates. Documents without a doc_id stay."""
-    later = jaccard_groups(docs).where("doc_id <> component_id").select("doc_id").distinct()
+    """The smallest doc_id of each group of near duplicates: documents whose sets of five-word shingles have a Jaccard
+    similarity of 0.8 or more (op5 has its own bounds). Documents without a doc_id stay."""
+    later = jaccard_groups(docs, width=5, percent=80).where("doc_id <> component_id").select("doc_id").distinct()
     return docs.join(small(materialize(later, "later")), "doc_id", "left_anti").select(docs.columns)
 
 
