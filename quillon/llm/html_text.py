@@ -21,6 +21,10 @@ RAW = frozenset("script style textarea title xmp iframe noembed noframes".split(
 SILENT = frozenset("head script style template noscript svg math canvas object audio video iframe form button select textarea option datalist input dialog title xmp noembed noframes".split())
 #: A start tag of these ends an open p.
 ENDS_P = frozenset("address article aside blockquote center details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
+#: Start tags that leave an open head open; any other, and text, end it.
+IN_HEAD = frozenset("base basefont bgsound head html link meta noframes noscript script style template title".split())
+#: Elements whose content isn't HTML: a slash closes them and those in them; and those in them that hold HTML again.
+FOREIGN, HTML_AGAIN = frozenset("svg math".split()), frozenset("foreignobject desc annotation-xml mi mo mn ms mtext".split())
 #: A start tag of the key ends an open element of the values, up to the border.
 SIBLINGS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
 #: Words in class, id and role that tell what a part is.
@@ -48,7 +52,7 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
     """Block-level nodes, parents first, and the blocks of text in page order as (node, text)."""
     nodes, blocks = [Node("html", -1, "")], []
     stack: list[tuple[str, int, bool]] = [("html", 0, False)]  # open elements: name, node, silent
-    links, at, part = 0, 0, []
+    links, foreign, at, part = 0, 0, 0, []
 
     def end_block() -> None:
         nonlocal part
@@ -63,14 +67,17 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
             part = []
 
     def close(to: int) -> None:
-        nonlocal links
+        nonlocal links, foreign
         for name, _, _ in stack[to:]:
             links -= name == "a"
+            foreign -= name in FOREIGN
         if any(name not in INLINE for name, _, _ in stack[to:]):
             end_block()
         del stack[to:]
 
     def say(text: str) -> None:
+        if stack[-1][0] == "head" and text.strip():
+            close(len(stack) - 1)
         if text and not stack[-1][2]:
             part.append((text, links > 0))
 
@@ -90,6 +97,14 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
                 if name in INLINE and stack[i][0] not in INLINE:
                     break  # an inline end tag doesn't leave its block
             continue
+        if stack[-1][0] == "head" and name not in IN_HEAD:
+            close(len(stack) - 1)
+        elif name == "body" and stack[-1][2]:  # in something of the head that was left open
+            names = [x for x, _, _ in stack]
+            if "head" in names and "template" not in names:
+                close(names.index("head"))
+        if m[3].endswith("/") and (name in FOREIGN or (foreign and next(x for x, _, _ in reversed(stack) if x in FOREIGN or x in HTML_AGAIN) in FOREIGN)):
+            continue
         if name == "br":
             say(" ")
             continue
@@ -122,6 +137,7 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
             if name not in INLINE:
                 end_block()
             links += name == "a"
+            foreign += name in FOREIGN
             stack.append((name, stack[-1][1], silent))
         elif name == "html":
             continue

@@ -53,6 +53,20 @@ def test_blocks():
     assert len(parse("<div>" * 20_000 + "x")[0]) == 20_001
 
 
+def test_open_head_and_slashes(model):
+    texts = lambda x: [t for _, t in parse(x)[1]]
+    assert texts("<html><head><title>t</title><body><article><p>a</p></article></body>") == ["a"]
+    assert texts("<head><meta charset=utf-8><link rel=x><script>1</script><p>a<p>b") == texts("<head><title>t</title></head><p>a<p>b") == ["a", "b"]
+    assert texts("<head><title>t</title> \n plain <b>text</b>") == ["plain text"]
+    assert texts("<head><noscript><img src=x><p>no</p></noscript><style>x</style></head><p>a") == texts("<head><noscript><body><p>a") == ["a"]
+    assert texts("<head><template><p>no</p></template><title>t</title><div>a</div>") == ["a"]
+    assert texts("<p>a <svg width='1' />b</p><p>c") == ["a b", "c"] and texts("<div>a<math/>b</div>") == ["ab"]
+    assert texts("<p>a<svg><title/><style/><g><path d='z'/></g><text>no</text></svg>b<p>c") == ["a", "b", "c"]
+    assert texts("<svg><foreignObject><script/>no</script></foreignObject></svg>a<div/>b") == ["a", "b"]
+    page = "<html><head><title>t</title>{}<body><nav><a>x</a></nav><article><p>Some words here that go on for a while. More of them, and more.</p></article></body></html>"
+    assert main_text(page.format(""), model) == main_text(page.format("</head>"), model) != ""
+
+
 def test_query(spark, sf, model):
     rows = {r.page_id: r for r in spark.read.parquet(f"{sf}/pages.parquet").collect()}
     got = op4_html_text(spark, sf).collect()
