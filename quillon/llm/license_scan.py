@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import re
+
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import table
 
@@ -51,31 +55,69 @@ RULES = (
 CUES = ("licen", "warrant", "permission", "copyright", "redistribution", "free software")
 
 
-def sentences(text: Column) -> Column:
-    """Normalised sentences: lines, cut after . ! ? : or ; where white space follows."""
-    cut = F.split(F.regexp_replace(F.lower(text), r"([.!?:;])[ \t\r]+", "$1\n"), "\n")
-    return F.transform(cut, lambda s: F.trim(F.regexp_replace(s, "[^a-z0-9]+", " ")))
+KNOWN = {s: i for i, s in SENTENCES.items()}
+#: All beginnings of known sentences, by whole words.
+BEGINNINGS = frozenset(s[:at] for s in KNOWN for at in [*(m.start() for m in re.finditer(" ", s)), len(s)])
+CUT, OTHER = re.compile(r"(?<=[.!?:;])[ \t\r]+"), re.compile(r"[^a-z0-9]+")
+#: Comment marks that are words.
+MARK = re.compile(r"[^a-z0-9]*(?:dnl|rem)(?![a-z0-9])")
+
+
+def known_sentences(text: str) -> list[int]:
+    """Identifiers of the known sentences of a lower-case text, in order.
+
+    Pieces are lines, cut after . ! ? : or ; where white space follows, without marks. A known sentence is one piece, or
+    several that follow each other (a wrapped sentence, or one with a colon in it), but never goes across an empty line.
+    Of those that begin with the same piece the longest counts.
+    """
+    out, pieces = [], []
+
+    def end_paragraph() -> None:
+        at = 0
+        while at < len(pieces):
+            own, end, hit, to = pieces[at], at + 1, None, at + 1
+            while own in BEGINNINGS:
+                if own in KNOWN:
+                    hit, to = KNOWN[own], end
+                if end == len(pieces):
+                    break
+                own, end = f"{own} {pieces[end]}", end + 1
+            if hit is not None:
+                out.append(hit)
+            at = to
+        pieces.clear()
+
+    for line in text.split("\n"):
+        mark = MARK.match(line)
+        own = [x for x in (OTHER.sub(" ", x).strip(" ") for x in CUT.split(line[mark.end() :] if mark else line)) if x]
+        if not own:
+            end_paragraph()
+        pieces += own
+    end_paragraph()
+    return out
+
+
+@F.arrow_udf(T.ArrayType(T.IntegerType()))
+def sentence_ids(texts: pa.Array) -> pa.Array:
+    return pa.array([[] if t is None else known_sentences(t) for t in texts.to_pylist()], pa.list_(pa.int32()))
 
 
 def scan_licenses(docs: DataFrame) -> DataFrame:
     """docs with sentence_ids (identifiers of the known licence sentences, in order) and licenses (sorted names of the
     licences whose rule occurs in that sequence).
 
-    A map turns each row's sentences into identifiers; a rule holds where its identifiers follow each other. Unknown
-    sentences between known ones don't break a rule; a known one does. Built-in functions in one projection, no shuffle.
+    Each row's sentences become identifiers, whether on one line or wrapped, also in comments; a rule holds where its
+    identifiers follow each other. Unknown sentences between known ones don't break a rule; a known one does. Texts with
+    a cue go to Python; no shuffle. OP6_SQL takes every line by itself, so it lacks what spans pieces (wrapped notices).
     A rule that is the beginning of a longer one that also holds isn't reported (BSD-2-Clause in BSD-3-Clause).
     Null and empty text: two empty arrays. Clashing columns are replaced; all rows are kept.
     """
     own = [c for c in docs.columns if c.lower() not in ("sentence_ids", "licenses")]
-    known = F.create_map(*[F.lit(x) for i, s in SENTENCES.items() for x in (s, i)])
-    words = F.array(*[F.lit(s) for s in SENTENCES.values()])
     low = F.lower("text")
     cue = low.contains(CUES[0])
     for c in CUES[1:]:
         cue = cue | low.contains(c)
-    none = F.array().cast("array<int>")
-    ids = F.transform(F.filter(sentences(F.col("text")), lambda s: F.array_contains(words, s)), lambda s: F.element_at(known, s))
-    rows = docs.select(*own, F.when(cue, ids).otherwise(none).alias("sentence_ids"))
+    rows = docs.select(*own, sentence_ids(F.when(cue, low)).alias("sentence_ids"))
     line = F.concat(F.lit(" "), F.array_join(F.transform("sentence_ids", lambda i: i.cast("string")), " "), F.lit(" "))
     at = lambda seq: line.contains(" " + " ".join(map(str, seq)) + " ")
     longer = lambda seq: [s for _, s in RULES if len(s) > len(seq) and s[: len(seq)] == seq]
