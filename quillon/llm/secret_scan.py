@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import base64
-import binascii
 import bz2
 import hashlib
 import lzma
 import re
+import struct
 import zlib
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from urllib.parse import unquote_to_bytes
 
@@ -31,8 +32,12 @@ ESCAPES = re.compile(r"\\u\{([0-9A-Fa-f]{1,6})\}|\\u([0-9A-Fa-f]{4})|\\x([0-9A-F
 BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
 #: Whether a text can hold any layer at all; most hold none.
 MAY_HOLD = re.compile(r"%[0-9A-Fa-f]{2}|\\[ux][0-9A-Fa-f{]|&#[0-9x]|[A-Za-z0-9+/_-]{16,}")
-#: Decompression stops beyond this many bytes for a layer: what was decompressed until then is scanned.
-INFLATED = 64 << 20
+#: A line break, also an escaped one, within base64; and base64 over several lines.
+BREAK = re.compile(r"[ \t]*(?:\r?\n|\r|(?:\\r)?\\n)[ \t]*")
+WRAPPED = re.compile(rf"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{{4,}}+(?:{BREAK.pattern}[A-Za-z0-9+/_-]{{4,}}+)*+{BREAK.pattern}[A-Za-z0-9+/_-]+={{0,2}}|(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{{4,}}+(?:{BREAK.pattern}[A-Za-z0-9+/_-]{{4,}}+)++={{0,2}}")
+LINE = re.compile(rb"[ \t]*[A-Za-z0-9+/_-]{4,}\s*")
+#: Decompressed streams are scanned in pieces of about so many bytes, which have so many in common.
+PIECE, OVERLAP = 8 << 20, 64 << 10
 
 
 def found(text: str) -> list[tuple[int, int, int]]:
@@ -44,10 +49,10 @@ def found(text: str) -> list[tuple[int, int, int]]:
 class Layer:
     """A decoded text with the range of the whole text that each of its characters comes from."""
 
-    __slots__ = ("depth", "ends", "starts", "text")
+    __slots__ = ("depth", "ends", "starts", "stop", "text")
 
-    def __init__(self, text: str, starts: list[int], ends: list[int], depth: int):
-        self.text, self.starts, self.ends, self.depth = text, starts, ends, depth
+    def __init__(self, text: str, starts: list[int] | Whole, ends: list[int] | Whole, depth: int, stop: int):
+        self.text, self.starts, self.ends, self.depth, self.stop = text, starts, ends, depth, stop  # what begins at stop or later is in the next piece too
 
 
 def url_layer(own: str) -> tuple[str, list[int], list[int]] | None:
@@ -88,85 +93,198 @@ def escape_layer(own: str) -> tuple[str, list[int], list[int]]:
     return "".join(text), starts, ends
 
 
-def inflate(raw: bytes) -> bytes | None:
-    """The content of a gzip, zlib, bzip2 or xz stream, of the part of it that is whole; None for anything else."""
-    try:
-        if raw[:2] == b"\x1f\x8b" or (len(raw) > 2 and raw[0] & 15 == 8 and raw[0] >> 4 <= 7 and (raw[0] << 8 | raw[1]) % 31 == 0):
-            return zlib.decompressobj(47).decompress(raw, INFLATED) or None
-        if raw[:3] == b"BZh":
-            return bz2.BZ2Decompressor().decompress(raw, INFLATED) or None
-        if raw[:6] == b"\xfd7zXZ\x00":
-            return lzma.LZMADecompressor().decompress(raw, INFLATED) or None
-    except (OSError, EOFError, ValueError, zlib.error, lzma.LZMAError):
-        pass
-    return None
-
-
-def base64_layer(own: str) -> tuple[str, list[int], list[int]] | None:
-    """base64 (either alphabet, padded or not), and a compressed stream in it; None unless it is printable text then."""
-    body = own.rstrip("=")
-    if len(body) % 4 == 1:
-        return None
-    try:
-        raw = base64.b64decode(body.replace("-", "+").replace("_", "/") + "=" * (-len(body) % 4), validate=True)
-    except (binascii.Error, ValueError):
-        return None
-    packed = False
-    while (inner := inflate(raw)) is not None and inner != raw:  # each time strictly unwrapped; a stream of itself ends
-        raw, packed = inner, True
-    try:
-        text = raw.decode()
-    except UnicodeDecodeError:
-        return None
-    if not text or not all(x.isprintable() or x in "\t\r\n" for x in text):
-        return None
-    if packed:
-        return text, [0] * len(text), [len(own)] * len(text)
-    starts, ends, at = [], [], 0
-    for x in text:
-        size = len(x.encode())
-        starts.append(at // 3 * 4 + at % 3), ends.append(min(len(own), (at + size - 1) // 3 * 4 + (at + size - 1) % 3 + 2))
-        at += size
-    return text, starts, ends
+#: Where a compressed stream may begin, apart from zlib's two bytes, which are tried at the beginning and after / - _ only.
+MAGIC = re.compile(rb"\x1f\x8b\x08|BZh[1-9](?:1AY&SY|\x17rE8P\x90)|\xfd7zXZ\x00")
+
+
+def is_zlib(raw: bytes, at: int) -> bool:
+    return len(raw) > at + 2 and raw[at] & 15 == 8 and raw[at] >> 4 <= 7 and (raw[at] << 8 | raw[at + 1]) % 31 == 0
+
+
+def inflate(raw: bytes, at: int = 0, ends: list[int] | None = None) -> Iterator[bytes]:
+    """The content of the gzip, zlib, bzip2 or xz stream at this place, all members of it, in parts; where it is broken,
+    what comes before. Bytes are fed one by one, as an error loses what the same call had decompressed. ends: takes the
+    end of each whole member."""
+    while at < len(raw):
+        if raw.startswith(b"\x1f\x8b", at) or is_zlib(raw, at):
+            d = zlib.decompressobj(47)
+        elif raw.startswith(b"BZh", at):
+            d = bz2.BZ2Decompressor()
+        elif raw.startswith(b"\xfd7zXZ\x00", at):
+            d = lzma.LZMADecompressor()
+        else:
+            return
+        try:
+            while at < len(raw) and not d.eof:
+                yield d.decompress(raw[at : at + 1], PIECE)
+                at += 1
+                while not d.eof and not getattr(d, "needs_input", True):
+                    yield d.decompress(b"", PIECE)
+        except (OSError, EOFError, ValueError, zlib.error, lzma.LZMAError):
+            return
+        if d.eof and ends is not None:
+            ends.append(at)
+        while raw.startswith(b"\0", at):  # padding between members
+            at += 1
+
+
+def cut(text: bytes) -> int:
+    """From where on a piece is repeated in the next one: OVERLAP bytes, more where this would part a run or wrapped base64."""
+    at = len(text) - OVERLAP
+    while at > 0 and not text[at - 1 : at].isspace():
+        at = max(text.rfind(x, 0, at) for x in (b"\n", b" ", b"\t", b"\r")) + 1
+    while at > 0 and LINE.fullmatch(text, line := text.rfind(b"\n", 0, at - 1) + 1, at):
+        at = line
+    return at
+
+
+def unpacked(raw: bytes, at: int, ends: list[int]) -> Iterator[tuple[bytes, int]]:
+    """Pieces of what is in a stream, each with the place from which on the next one repeats it."""
+    held, size, least = [], 0, PIECE
+    for x in inflate(raw, at, ends):
+        held.append(x)
+        size += len(x)
+        if size >= least:
+            text = b"".join(held)
+            if at := cut(text):
+                yield text, at
+                text = text[at:]
+            held, size, least = [text], len(text), len(text) + PIECE
+    if size:
+        yield b"".join(held), size
+
+
+def views(raw: bytes, end: int) -> Iterator[tuple[str, list[int] | range, int]]:
+    """Bytes as text, the byte of each character, and the character that `end` is. Secrets are ASCII, so bytes as
+    characters show them in UTF-8 and all encodings like it; units of two bytes, without zeros, those in UTF-16 and UTF-32."""
+    yield raw.decode("latin-1"), range(len(raw)), end
+    if raw.count(0) >= 8:  # the shortest secret has more
+        for order in "<>":
+            for at in (0, 1):
+                units = struct.unpack_from(f"{order}{(len(raw) - at) // 2}H", raw, at)
+                kept = [at + 2 * i + (order == ">") for i, x in enumerate(units) if x]
+                yield "".join([chr(x) if x < 0xD800 or x > 0xDFFF else "\ufffd" for x in units if x]), kept, bisect_left(kept, end)
+
+
+class Whole:
+    """A map that gives all characters the same place."""
+
+    def __init__(self, place: int):
+        self.place = place
+
+    def __getitem__(self, _: int) -> int:
+        return self.place
+
+    def within(self, places) -> Whole:
+        return Whole(places[self.place])
+
+
+def packed_layers(raw: bytes, size: int, starts: tuple[int, ...] = (0,)) -> Iterator[tuple]:
+    """What the compressed streams in raw hold, in pieces; zlib's are tried at `starts`. size: of the encoded part."""
+    ends = [0]
+    for at in sorted({*(m.start() for m in MAGIC.finditer(raw)), *(x for x in starts if is_zlib(raw, x))}):
+        first = None
+        if at < ends[-1]:  # in a stream that was whole
+            continue
+        for piece, end in unpacked(raw, at, ends):
+            seen: set[str] = set()
+            for text, _, stop in views(piece, end):
+                own = {text[a:b] for a, _, b in found(text)}
+                if not seen or own - seen:  # once for what both views show
+                    yield text, Whole(0), Whole(size - 1), stop
+                seen |= own
+            if piece != raw:  # a stream of itself ends
+                yield from packed_layers(piece, size)
+            if first is None:
+                first = piece
+            elif first and (MAGIC.match(first) or is_zlib(first, 0)):  # a stream over several pieces
+                yield from packed_layers(b"".join(inflate(raw, at)), size)
+                first = b""
+
+
+def base64_layers(own: str) -> Iterator[tuple]:
+    """base64 in either alphabet, padded or not, wrapped or not, from each of the four alignments, as it may be glued to
+    what comes before; and compressed streams in it."""
+    place = [i for m in re.finditer(r"[A-Za-z0-9+/_-]+", BREAK.sub(lambda m: " " * len(m[0]), own)) for i in range(*m.span())]
+    body = "".join([own[i] for i in place])
+    plain = body.replace("-", "+").replace("_", "/")
+    if len(body) < 16:
+        return
+    glued = [m.end() for m in re.finditer("[/_-]", body)] + [i for i in range(1, len(place)) if place[i] != place[i - 1] + 1]
+    for k in range(4):
+        part = plain[k:]
+        part = part[: len(part) - (len(part) % 4 == 1)]
+        raw = base64.b64decode(part + "=" * (-len(part) % 4))
+        for text, at, _ in views(raw, len(raw)):
+            if text:
+                yield text, [place[k + i // 3 * 4 + i % 3] for i in at], [place[k + i // 3 * 4 + i % 3 + 1] for i in at], len(text)
+        yield from packed_layers(raw, len(own), (0, *((x - k) // 4 * 3 for x in glued if x > k and (x - k) % 4 == 0)))
+
+
+def url_layers(own: str) -> Iterator[tuple]:
+    text, starts, ends = url_layer(own)
+    yield text, starts, [x - 1 for x in ends], len(text)
+    yield from packed_layers(unquote_to_bytes(own), len(own))
+
+
+def escape_layers(own: str) -> Iterator[tuple]:
+    text, starts, ends = escape_layer(own)
+    yield text, starts, [x - 1 for x in ends], len(text)
+    yield from packed_layers(text.encode("latin-1", "replace"), len(own))
 
 
 def layers(text: str) -> Iterator[Layer]:
     """All decoded layers of a text, worked off until none unwraps any further. A layer whose text was already seen at
     the same place isn't unwrapped again, so cycles end."""
     seen: set[tuple[int, int, bytes]] = set()
-    work = [Layer(text, [], [], 0)]
+    work = [Layer(text, [], [], 0, len(text))]
     while work:
         layer = work.pop()
         own = layer.text
-        if not MAY_HOLD.search(own):
+        if not (MAY_HOLD.search(own) or WRAPPED.search(own)):
             continue
-        parts = [(m.start(), m.end(), url_layer) for m in URL.finditer(own)]
+        parts = [(m.start(), m.end(), url_layers) for m in URL.finditer(own)]
         # neighbouring escapes, with the characters of a word around them, are one part
-        parts += [(m.start(), m.end(), escape_layer) for m in re.finditer(rf"[^\s]*?(?:{ESCAPES.pattern})[^\s]*", own)]
-        parts += [(m.start(), m.end(), base64_layer) for m in BASE64.finditer(own)]
+        parts += [(m.start(), m.end(), escape_layers) for m in re.finditer(rf"[^\s]*?(?:{ESCAPES.pattern})[^\s]*", own)]
+        wrapped = [(m.start(), m.end(), base64_layers) for m in WRAPPED.finditer(own)]
+        begins = [x[0] for x in wrapped]
+        alone = ((m.start(), m.end(), base64_layers) for m in BASE64.finditer(own))
+        parts += wrapped + [x for x in alone if not (i := bisect_right(begins, x[0])) or wrapped[i - 1][1] < x[1]]
         for a, b, decode in parts:
-            if (got := decode(own[a:b])) is None or got[0] == own[a:b]:
-                continue
-            if layer.depth:
-                starts, ends = [layer.starts[a + i] for i in got[1]], [layer.ends[a + i - 1] for i in got[2]]
-            else:
-                starts, ends = [a + i for i in got[1]], [a + i for i in got[2]]
-            key = (starts[0], ends[-1], hashlib.sha256(got[0].encode("utf-8", "surrogatepass")).digest()) if got[0] else None
-            if key is None or key in seen:
+            if a >= layer.stop:
                 continue
-            seen.add(key)
-            work.append(new := Layer(got[0], starts, ends, layer.depth + 1))
-            yield new
+            for new, starts, lasts, stop in decode(own[a:b]):
+                if not new or new == own[a:b]:
+                    continue
+                if isinstance(starts, Whole):
+                    starts, lasts = Whole(a + starts.place), Whole(a + lasts.place)
+                    if layer.depth:
+                        starts, ends = starts.within(layer.starts), lasts.within(layer.ends)
+                    else:
+                        ends = Whole(lasts.place + 1)
+                elif layer.depth:
+                    starts, ends = [layer.starts[a + i] for i in starts], [layer.ends[a + i] for i in lasts]
+                else:
+                    starts, ends = [a + i for i in starts], [a + i + 1 for i in lasts]
+                key = (starts[0], ends[-1], hashlib.sha256(new.encode("utf-8", "surrogatepass")).digest())
+                if key in seen:
+                    continue
+                seen.add(key)
+                work.append(made := Layer(new, starts, ends, layer.depth + 1, stop))
+                yield made
 
 
 def scan(text: str | None) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]], list[tuple[int, int, int, int, str]]]:
     """Base spans, all spans (start, kind's place, end) in the whole text, and what decoded layers held: (start, kind's place, end, depth, match)."""
     text = text or ""
     base = sorted(found(text))
-    inner = []
-    if MAY_HOLD.search(text):
+    inner, placed = [], set()
+    if MAY_HOLD.search(text) or WRAPPED.search(text):
         for layer in layers(text):
-            inner += [(layer.starts[a], k, layer.ends[b - 1], layer.depth, layer.text[a:b]) for a, k, b in found(layer.text)]
+            own = [(layer.starts[a], k, layer.ends[b - 1], layer.depth, layer.text[a:b]) for a, k, b in found(layer.text) if a < layer.stop]
+            # views of the same bytes show the same match at the same place; a compressed layer has one place for all
+            inner += own if isinstance(layer.starts, Whole) else [x for x in own if x not in placed]
+            placed.update(own)
     inner.sort()
     return base, sorted({*base, *((a, k, b) for a, k, b, _, _ in inner)}), inner
 
@@ -197,8 +315,9 @@ def scan_secrets(docs: DataFrame) -> DataFrame:
     layers, mapped to the whole text), and decoded: what the layers held, with depth and match.
 
     Each row is scanned in its own: no shuffle. Spans are code points, end exclusive. Null text is empty: no spans.
-    Null doc_id is kept. Layers: percent encoding, Unicode escapes and character references, base64, and gzip, zlib,
-    bzip2 or xz inside base64, nested in any order. A span from a compressed layer covers the whole encoded part.
+    Null doc_id is kept. Layers: percent encoding, Unicode escapes and character references, base64 (wrapped or glued
+    to other characters, too), and gzip, zlib, bzip2 or xz streams inside any of these, nested in any order. Streams are
+    read to their end or first error, in pieces. A span from a compressed layer covers the whole encoded part.
     """
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(scan_batches, SCHEMA)
 

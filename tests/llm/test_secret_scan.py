@@ -2,6 +2,8 @@ import base64
 import bz2
 import gzip
 import hashlib
+import lzma
+import random
 import re
 import zlib
 from urllib.parse import quote
@@ -61,6 +63,35 @@ def test_cycles_end():
         scan(text)
 
 
+def has(text, key=KEY):
+    return key in [x[4] for x in scan(text)[2]]  # bytes of a stream may show it too, with what follows
+
+
+@pytest.mark.parametrize("around", ["\0{}\0", "\ufeff{}", "x\u00a0{}\u200b", "\x1b[1m{}\u3000"])
+def test_any_bytes(around):
+    for code in ("utf-8", "utf-16", "utf-16-le", "utf-16-be", "utf-32"):
+        assert has("a " + B64(around.format(KEY).encode(code)) + " b"), code
+    assert has(B64(b"\xff\xfe\x80 " + KEY.encode() + b" \xc3"))
+
+
+@pytest.mark.parametrize("width", [8, 15, 18, 76])
+@pytest.mark.parametrize("end", ["\n", "\r\n", "\n    ", "\\n"])
+def test_wrapped_base64(width, end):
+    wrap = lambda x: end.join(x[i : i + width] for i in range(0, len(x), width))
+    assert has("key:\n\n" + wrap(B64("y" * 50 + " " + KEY + " " + "z" * 200)) + "\n\nend")
+    assert has("! " + wrap(B64(gzip.compress(random.Random(1).randbytes(300) + b" " + KEY.encode()))) + "\n\nend")
+    own = wrap(B64("abc" + KEY))
+    assert [(a, b) for a, _, b in scan("z " + own)[1]] == [(2 + own.index("cGFz"), 2 + len(own.rstrip("=")))]
+
+
+@pytest.mark.parametrize("before", ["/v1/", "id-", "a_", "x", "xy", "xyz", "/v1/ab/"])
+def test_glued_base64(before):
+    for own in (KEY.encode(), gzip.compress(KEY.encode()), bz2.compress(KEY.encode()), lzma.compress(KEY.encode())):
+        assert has(f" {before}{B64(own).rstrip('=')} ")
+    if before[-1] in "/-_":
+        assert has(f" {before}{B64(zlib.compress(KEY.encode())).rstrip('=')} ")
+
+
 def test_query(spark, sf):
     rows = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
     got = op2_secret_scan(spark, sf).collect()
