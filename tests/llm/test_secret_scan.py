@@ -92,6 +92,20 @@ def test_glued_base64(before):
         assert has(f" {before}{B64(zlib.compress(KEY.encode())).rstrip('=')} ")
 
 
+@pytest.mark.parametrize("pack", [gzip.compress, zlib.compress, bz2.compress, lzma.compress])
+def test_streams(pack, monkeypatch):
+    key = KEY.encode()
+    whole = pack(b"first ") + pack(b"x " + key)
+    assert has(B64(whole)) and has(B64(pack(key + b" ")[:-2] + b"??")) and has(B64(pack(key + b" ") + b"tail"))
+    assert has("".join(f"%{x:02X}" for x in whole)) and has("".join(f"\\x{x:02x}" for x in whole)) and has(B64(pack(b"text " + gzip.compress(key))))
+    monkeypatch.setattr("quillon.llm.secret_scan.PIECE", 500)
+    monkeypatch.setattr("quillon.llm.secret_scan.OVERLAP", 60)
+    for at in range(300, 1100, 37):  # at all places around the cuts, and within base64 over them
+        assert has(B64(pack(("\u00e9 word" * 300)[:at].encode() + b" " + key + b" more" * 200)))
+        assert has(B64(pack(("word " * 300)[:at].encode() + b" " + base64.encodebytes(b"y " * 200 + key + b" z" * 300) + b" more" * 200)))
+    assert has(B64(pack(gzip.compress(random.Random(2).randbytes(3000) + b" " + key))))
+
+
 def test_query(spark, sf):
     rows = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
     got = op2_secret_scan(spark, sf).collect()
