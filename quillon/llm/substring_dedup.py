@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 from functools import partial
 
@@ -12,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize, small, table
-from .copies import copies
+from .copies import own_texts
 from .words import BASE, WindowHashes, WordHashes, mixed
 
 #: Perfect difference sets. Every residue modulo the period is a difference of two members, so for any two
@@ -20,45 +19,46 @@ from .words import BASE, WindowHashes, WordHashes, mixed
 COVERS = {7: (0, 1, 3), 13: (0, 1, 3, 9), 21: (0, 1, 4, 14, 16), 31: (0, 1, 3, 8, 12, 18), 57: (0, 1, 3, 13, 32, 36, 43, 52)}
 BASE2 = 0xD6E8FEB86659FD93
 DECIDED, OPEN, KNOWN = 0, 1, 2
-ROWS = "key long, key2 long, doc long, lo int, hi int, kind byte"
-RANGES = "doc long, lo int, hi int"
+#: doc: the doc_id, by which texts are ordered; own: which of its texts, 0 where it has one.
+ROWS = "key long, key2 long, doc long, own long, lo int, hi int, kind byte"
+RANGES = "doc long, own long, lo int, hi int"
 
 
 def batch(**columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(x) for x in columns.values()], names=list(columns))
 
 
-def rows_of(key, key2, doc, lo, hi, kind) -> pa.RecordBatch:
-    return batch(key=key.view(np.int64), key2=key2.view(np.int64), doc=doc, lo=lo.astype(np.int32), hi=hi.astype(np.int32), kind=kind.astype(np.int8))
+def rows_of(key, key2, doc, own, lo, hi, kind) -> pa.RecordBatch:
+    return batch(key=key.view(np.int64), key2=key2.view(np.int64), doc=doc, own=own, lo=lo.astype(np.int32), hi=hi.astype(np.int32), kind=kind.astype(np.int8))
 
 
-def merged(doc: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The union of ranges [lo, hi], document by document, as few ranges."""
+def merged(doc: np.ndarray, own: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The union of ranges [lo, hi], text by text, as few ranges."""
     if not len(doc):
-        return doc, lo, hi
-    order = np.lexsort((lo, doc))
-    doc, lo, hi = doc[order], lo[order].astype(np.int64), hi[order].astype(np.int64)
-    fresh = np.r_[True, doc[1:] != doc[:-1]]
-    # running maximum of hi within each document
+        return doc, own, lo, hi
+    order = np.lexsort((lo, own, doc))
+    doc, own, lo, hi = doc[order], own[order], lo[order].astype(np.int64), hi[order].astype(np.int64)
+    fresh = np.r_[True, (doc[1:] != doc[:-1]) | (own[1:] != own[:-1])]
+    # running maximum of hi within each text
     group = np.cumsum(fresh) - 1
     span = int(hi.max()) + 2
     top = np.maximum.accumulate(hi + group * span) - group * span
     start = fresh | np.r_[True, lo[1:] > top[:-1] + 1]
     first = np.flatnonzero(start)
     last = np.r_[first[1:], len(doc)] - 1
-    return doc[first], lo[first].astype(np.int32), top[last].astype(np.int32)
+    return doc[first], own[first], lo[first].astype(np.int32), top[last].astype(np.int32)
 
 
-def emit(key, key2, doc, lo, hi, kind) -> Iterator[pa.RecordBatch]:
+def emit(key, key2, doc, own, lo, hi, kind) -> Iterator[pa.RecordBatch]:
     """Rows of kind DECIDED as merged ranges, dealt by document; the others as they are."""
     done = kind == DECIDED
-    d, a, b = merged(doc[done], lo[done], hi[done])
+    d, o, a, b = merged(doc[done], own[done], lo[done], hi[done])
     if len(d):
         zero = np.zeros(len(d), np.uint64)
-        yield rows_of(mixed(d.astype(np.uint64)), zero, d, a, b, zero)
+        yield rows_of(mixed(d.astype(np.uint64)), zero, d, o, a, b, zero)
     left = ~done
     if left.any():
-        yield rows_of(key[left], key2[left], doc[left], lo[left], hi[left], kind[left])
+        yield rows_of(*(x[left] for x in (key, key2, doc, own, lo, hi, kind)))
 
 
 def runs(*keys: np.ndarray) -> np.ndarray:
@@ -79,22 +79,19 @@ def anchors(batches: Iterator[pa.RecordBatch], window: int, period: int) -> Iter
     width = window - period + 1
     cover, words, hasher = np.array(COVERS[period]), WordHashes(), WindowHashes(width)
     for b in batches:
-        keys, docs, los, his = [], [], [], []
-        for doc, text in zip(b["doc_id"].to_pylist(), b["text"].to_pylist(), strict=True):
+        parts = []
+        for doc, own, text in zip(b["doc_id"].to_pylist(), b["own"].to_pylist(), b["text"].to_pylist(), strict=True):
             if len(ws := text.split()) < window:
                 continue
             h = hasher.of(words.of(ws))
             at = (np.arange(0, len(h), period)[:, None] + cover).ravel()
             at = at[at < len(h)]
-            keys.append(h[at])
-            docs.append(np.full(len(at), doc, np.int64))
-            los.append(np.maximum(at - period + 1, 0))
-            his.append(np.minimum(at, len(ws) - window))
-        if not keys:
+            parts.append((h[at], np.full(len(at), doc, np.int64), np.full(len(at), own, np.int64), np.maximum(at - period + 1, 0), np.minimum(at, len(ws) - window)))
+        if not parts:
             continue
-        key, doc, lo, hi = map(np.concatenate, (keys, docs, los, his))
+        key, doc, own, lo, hi = map(np.concatenate, zip(*parts, strict=True))
         order = np.lexsort((doc, key))
-        key, doc, lo, hi = key[order], doc[order], lo[order], hi[order]
+        key, doc, own, lo, hi = (x[order] for x in (key, doc, own, lo, hi))
         first = runs(key)
         ends = np.r_[np.flatnonzero(np.diff(first)), len(key) - 1]  # the last row of each run
         last = ends[np.searchsorted(ends, np.arange(len(key)))]
@@ -102,14 +99,14 @@ def anchors(batches: Iterator[pa.RecordBatch], window: int, period: int) -> Iter
         kind = np.where(shared, DECIDED, OPEN)
         stand = shared & (first == np.arange(len(key)))
         zero = np.zeros(len(key), np.uint64)
-        yield from emit(key, zero, doc, lo, hi, kind)
+        yield from emit(key, zero, doc, own, lo, hi, kind)
         if stand.any():
-            yield rows_of(key[stand], zero[stand], doc[stand], lo[stand], hi[stand], np.full(stand.sum(), KNOWN))
+            yield rows_of(*(x[stand] for x in (key, zero, doc, own, lo, hi)), np.full(stand.sum(), KNOWN))
 
 
 def sorted_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
     for b in batches:
-        yield tuple(b[c].to_numpy(zero_copy_only=False) for c in ("key", "key2", "doc", "lo", "hi", "kind"))
+        yield tuple(b[c].to_numpy(zero_copy_only=False) for c in ("key", "key2", "doc", "own", "lo", "hi", "kind"))
 
 
 def shared_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -117,13 +114,13 @@ def shared_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     goes on, one document's rows are held at most."""
     held: tuple[np.ndarray, ...] | None = None
     for rows in sorted_rows(batches):
-        done = rows[5] == DECIDED
+        done = rows[6] == DECIDED
         if done.any():
-            yield batch(doc=rows[2][done], lo=rows[3][done], hi=rows[4][done])
+            yield batch(doc=rows[2][done], own=rows[3][done], lo=rows[4][done], hi=rows[5][done])
             rows = tuple(x[~done] for x in rows)
         if held is not None:
             rows = tuple(np.concatenate(x) for x in zip(held, rows, strict=True))
-        key, _, doc, lo, hi, kind = rows
+        key, _, doc, own, lo, hi, kind = rows
         if not len(key):
             continue
         first = runs(key)
@@ -131,43 +128,44 @@ def shared_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         shared = doc[first] != doc[ends[np.searchsorted(ends, np.arange(len(key)))]]
         out = shared & (kind == OPEN)
         if out.any():
-            yield batch(doc=doc[out], lo=lo[out], hi=hi[out])
+            yield batch(doc=doc[out], own=own[out], lo=lo[out], hi=hi[out])
         tail = slice(first[-1], first[-1] + 1) if shared[-1] else slice(first[-1], None)
         held = tuple(x[tail].copy() for x in rows)
         if shared[-1]:
-            held[5][:] = KNOWN
+            held[6][:] = KNOWN
+
+
+def covered(ranges: list[int], n: int) -> np.ndarray:
+    """Which of n places lie in one of the packed ranges."""
+    mark, r = np.zeros(n + 1, np.int32), np.array(ranges, np.int64)
+    np.add.at(mark, r >> 32, 1)
+    np.add.at(mark, (r & 0xFFFFFFFF) + 1, -1)
+    return np.cumsum(mark[:-1]) > 0
 
 
 def windows(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
     """128-bit hashes of the candidate windows. Windows that a smaller document of the same batch has are decided here."""
-    words, one, two = WordHashes(), WindowHashes(window, BASE), WindowHashes(window, BASE2)
+    words, again, one, two = WordHashes(), WordHashes(1), WindowHashes(window, BASE), WindowHashes(window, BASE2)
     for b in batches:
-        k1, k2, docs, starts = [], [], [], []
-        for doc, text, ranges in zip(b["doc_id"].to_pylist(), b["text"].to_pylist(), b["ranges"].to_pylist(), strict=True):
-            h = words.of(text.split())
-            mark = np.zeros(len(h) + 1, np.int32)
-            r = np.array(ranges, np.int64)
-            np.add.at(mark, r >> 32, 1)
-            np.add.at(mark, (r & 0xFFFFFFFF) + 1, -1)
-            at = np.flatnonzero(np.cumsum(mark[:-1]) > 0)
-            k1.append(one.of(h)[at])
-            k2.append(two.of(h)[at])
-            docs.append(np.full(len(at), doc, np.int64))
-            starts.append(at)
-        if not k1:
+        parts = []
+        for doc, own, text, ranges in zip(*(b[c].to_pylist() for c in ("doc_id", "own", "text", "ranges")), strict=True):
+            ws = text.split()
+            at = np.flatnonzero(covered(ranges, len(ws)))
+            parts.append((one.of(words.of(ws))[at], two.of(again.of(ws))[at], np.full(len(at), doc, np.int64), np.full(len(at), own, np.int64), at))
+        if not parts:
             continue
-        key, key2, doc, at = map(np.concatenate, (k1, k2, docs, starts))
+        key, key2, doc, own, at = map(np.concatenate, zip(*parts, strict=True))
         order = np.lexsort((doc, key2, key))
-        key, key2, doc, at = key[order], key2[order], doc[order], at[order]
+        key, key2, doc, own, at = (x[order] for x in (key, key2, doc, own, at))
         later = doc > doc[runs(key, key2)]
-        yield from emit(key, key2, doc, at, at + window - 1, np.where(later, DECIDED, OPEN))
+        yield from emit(key, key2, doc, own, at, at + window - 1, np.where(later, DECIDED, OPEN))
 
 
 def later_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """From rows sorted by keys and doc: the windows that a smaller document has."""
     held: tuple | None = None
     for rows in sorted_rows(batches):
-        done = rows[5] == DECIDED
+        done = rows[6] == DECIDED
         out = done.copy()
         if not done.all():
             key, key2, doc = (x[~done] for x in rows[:3])
@@ -178,13 +176,14 @@ def later_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             out[~done] = doc > least
             held = (key[-1], key2[-1], least[-1])
         if out.any():
-            yield batch(**dict(zip(("doc", "lo", "hi"), merged(*(x[out] for x in rows[2:5])), strict=True)))
+            yield batch(**dict(zip(("doc", "own", "lo", "hi"), merged(*(x[out] for x in rows[2:6])), strict=True)))
 
 
 def gathered(ranges: DataFrame, name: str) -> DataFrame:
-    """A row for each document with its ranges, packed lo << 32 | hi: never more than the document has words."""
+    """A row for each text with its ranges, packed lo << 32 | hi: never more than the text has words."""
     packed = F.shiftleft(F.col("lo").cast("long"), 32) + F.col("hi")
-    return materialize(ranges.select("doc", packed.alias("r")).groupBy(F.col("doc").alias("doc_id")).agg(F.collect_list("r").alias("ranges")), name)
+    vid = F.when(F.col("own") == 0, F.col("doc")).otherwise(F.col("own")).alias("vid")
+    return materialize(ranges.select(vid, packed.alias("r")).groupBy("vid").agg(F.collect_list("r").alias("ranges")), name)
 
 
 def dealt(rows: DataFrame) -> DataFrame:
@@ -200,11 +199,7 @@ def apply_ranges(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.
             if copy:
                 left = [] if n >= window else ws
             elif ranges:
-                mark = np.zeros(n + 1, np.int32)
-                r = np.array(ranges, np.int64)
-                np.add.at(mark, r >> 32, 1)
-                np.add.at(mark, (r & 0xFFFFFFFF) + 1, -1)
-                left = [ws[i] for i in np.flatnonzero(np.cumsum(mark[:-1]) == 0)]
+                left = [ws[i] for i in np.flatnonzero(~covered(ranges, n))]
             else:
                 left = ws
             n_words.append(n)
@@ -228,21 +223,22 @@ def drop_repeated_passages(docs: DataFrame, window: int = 50) -> DataFrame:
     ranges may be broadcast (`small`); beyond, the joins by doc_id shuffle.
 
     Null or empty text: no words. Null doc_id: nothing is removed, and the row removes nothing elsewhere. Repeated rows
-    (same doc_id and text) give the same result each; doc_id identifies the text.
+    (same doc_id and text) give the same result each; a doc_id with several texts keeps them apart: each row is judged by
+    its own text, and none of them is smaller than another.
     """
     period = max(p for p in COVERS if p == min(COVERS) or 3 * p <= 2 * window)
     if window < period:
         raise ValueError(f"window must be {period} or more")
-    copied = copies(docs)
-    known = docs.where("doc_id is not null and text is not null").select("doc_id", F.col("text").cast("binary").alias("text"))
-    own = known.join(small(copied.select("doc_id")), "doc_id", "left_anti").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    found = dealt(own.mapInArrow(partial(anchors, window=window, period=period), ROWS)).mapInArrow(shared_anchors, RANGES)
+    rows, copied, _ = own_texts(docs)
+    number = F.col("doc_id").cast("long")
+    known = rows.where("doc_id is not null and text is not null").join(small(copied.select("vid")), "vid", "left_anti")
+    known = known.select("vid", number.alias("doc_id"), F.when(F.col("vid") == number, 0).otherwise(F.col("vid")).cast("long").alias("own"), "text")
+    found = dealt(known.select("doc_id", "own", "text").mapInArrow(partial(anchors, window=window, period=period), ROWS)).mapInArrow(shared_anchors, RANGES)
     near = gathered(found, "anchors")
     bytes_of = F.size("ranges") * 8 + 24
-    hashed = own.join(small(near, size=bytes_of), "doc_id").select("doc_id", "text", "ranges").mapInArrow(partial(windows, window=window), ROWS)
+    hashed = known.join(small(near, size=bytes_of), "vid").select("doc_id", "own", "text", "ranges").mapInArrow(partial(windows, window=window), ROWS)
     removed = gathered(dealt(hashed).mapInArrow(later_windows, RANGES), "repeats")
-    rows = docs.select("doc_id", F.col("text").cast("binary").alias("text"))
-    rows = rows.join(small(copied.select("doc_id", F.lit(True).alias("copy"))), "doc_id", "left").join(small(removed, size=bytes_of), "doc_id", "left")
+    rows = rows.join(small(copied.select("vid", F.lit(True).alias("copy"))), "vid", "left").join(small(removed, size=bytes_of), "vid", "left")
     kind = docs.schema["doc_id"].dataType.simpleString()
     return rows.select("doc_id", "text", "copy", "ranges").mapInArrow(partial(apply_ranges, window=window), f"doc_id {kind}, n_words long, n_removed long, kept_text binary")
 

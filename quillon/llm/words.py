@@ -23,10 +23,13 @@ REMEMBERED = 1_000_000
 class WordHashes(dict):
     """64-bit hashes of words; forgets all when it holds REMEMBERED of them."""
 
+    def __init__(self, seed: int = 0):
+        self.seed = seed
+
     def __missing__(self, word: bytes) -> int:
         if len(self) >= REMEMBERED:
             self.clear()
-        self[word] = value = xxhash.xxh3_64_intdigest(word)
+        self[word] = value = xxhash.xxh3_64_intdigest(word, self.seed)
         return value
 
     def of(self, words: list[bytes]) -> np.ndarray:

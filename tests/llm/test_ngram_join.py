@@ -65,6 +65,14 @@ def test_repeated_rows_and_empty(spark):
     assert jaccard_groups(df.limit(0)).collect() == []
 
 
+def test_several_texts_of_an_id(spark):
+    """A doc_id with several texts links by any of them, each row counts its own; texts without words link with nothing."""
+    rows = [(7, "a b c d"), (3, "A b c d"), (3, "e f g h i"), (9, "e f g h i"), (5, "e f g h i"), (4, ""), (9, None), (6, " \n"), (8, " \n"), (2, "k l m"), (2, "k l m")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    want = [(2, 1, 2), (2, 1, 2), (3, 2, 3), (3, 3, 3), (4, 0, 4), (5, 3, 3), (6, 0, 6), (7, 2, 3), (8, 0, 8), (9, 0, 3), (9, 3, 3)]
+    assert sorted(map(tuple, jaccard_groups(df).collect())) == want
+
+
 def test_query(spark, sf):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
     assert got(op5_ngram_jaccard(spark, sf)) == brute(rows)

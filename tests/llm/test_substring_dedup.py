@@ -61,6 +61,15 @@ def test_repeated_rows_and_empty(spark):
     assert drop_repeated_passages(df.limit(0)).collect() == []
 
 
+def test_several_texts_of_an_id(spark):
+    """Five documents, seven rows: each by its own text; texts of one id don't repeat each other."""
+    a, b, c = (" ".join(f"{x}{i}" for i in range(80)) for x in "abc")
+    rows = [(1, a), (2, a), (2, b), (2, f"x {b}"), (3, f"y {b}"), (3, c), (-9, f"{c} z")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted((r.doc_id, r.n_words, r.n_removed, bytes(r.kept_text).decode()) for r in drop_repeated_passages(df).collect())
+    assert got == [(-9, 81, 0, f"{c} z"), (1, 80, 0, a), (2, 80, 0, b), (2, 80, 80, ""), (2, 81, 0, f"x {b}"), (3, 80, 80, ""), (3, 81, 80, "y")]
+
+
 def test_query(spark, sf):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
     want = {i: (n, r, hashlib.sha256(k).hexdigest()) for i, (n, r, k) in brute(rows).items()}
