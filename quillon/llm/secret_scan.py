@@ -7,12 +7,13 @@ import bz2
 import hashlib
 import lzma
 import re
-import struct
 import zlib
-from bisect import bisect_left, bisect_right
+from bisect import bisect_right
 from collections.abc import Iterator
+from itertools import accumulate
 from urllib.parse import unquote_to_bytes
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -27,8 +28,9 @@ KINDS = (
 )
 #: The same matches as the hex pattern's long ones: a run of 32 or more is always a whole run.
 LONG_HEX = re.compile(r"[0-9a-f]{32,}")
-URL = re.compile(r"[A-Za-z0-9._~+=:;,@&/?#\[\]!$'()*%-]*%[0-9A-Fa-f]{2}[A-Za-z0-9._~+=:;,@&/?#\[\]!$'()*%-]*")
+URL, PERCENT = re.compile(r"[A-Za-z0-9._~+=:;,@&/?#\[\]!$'()*%-]+"), re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 ESCAPES = re.compile(r"\\u\{([0-9A-Fa-f]{1,6})\}|\\u([0-9A-Fa-f]{4})|\\x([0-9A-Fa-f]{2})|&#x([0-9A-Fa-f]{1,6});|&#([0-9]{1,7});")
+WORD, RUN = re.compile(r"\S+"), re.compile(r"[A-Za-z0-9+/_-]+")
 BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
 #: Whether a text can hold any layer at all; most hold none.
 MAY_HOLD = re.compile(r"%[0-9A-Fa-f]{2}|\\[ux][0-9A-Fa-f{]|&#[0-9x]|[A-Za-z0-9+/_-]{16,}")
@@ -51,26 +53,43 @@ class Layer:
 
     __slots__ = ("depth", "ends", "starts", "stop", "text")
 
-    def __init__(self, text: str, starts: list[int] | Whole, ends: list[int] | Whole, depth: int, stop: int):
+    def __init__(self, text: str, starts: np.ndarray | Whole | None, ends: np.ndarray | Whole | None, depth: int, stop: int):
         self.text, self.starts, self.ends, self.depth, self.stop = text, starts, ends, depth, stop  # what begins at stop or later is in the next piece too
 
 
-def url_layer(own: str) -> tuple[str, list[int], list[int]] | None:
-    """Decoded text and, for each character, its range within own."""
+def holding(runs: re.Pattern, sign: re.Pattern, text: str) -> Iterator[tuple[int, int]]:
+    """The runs that hold a sign: each is searched once, so long ones cost no more than their length."""
+    if sign.search(text):
+        for m in runs.finditer(text):
+            if sign.search(text, *m.span()):
+                yield m.span()
+
+
+def decoded(own: str, signs: Iterator[tuple[int, int, list[tuple[str, int, int]]]]) -> tuple[str, np.ndarray, np.ndarray]:
+    """own with its signs (start, end, decoded characters with their ranges) replaced, and the range of each character."""
     text, starts, ends, at = [], [], [], 0
-    for m in re.finditer(r"(?:%[0-9A-Fa-f]{2})+", own):
-        for i in range(at, m.start()):
-            text.append(own[i]), starts.append(i), ends.append(i + 1)
-        raw, at = unquote_to_bytes(m[0]), m.end()
-        i = 0
+    for a, b, made in signs:
+        text.append(own[at:a])
+        starts.append(np.arange(at, a))
+        ends.append(np.arange(at + 1, a + 1))
+        text += [x for x, _, _ in made]
+        starts.append(np.array([x for _, x, _ in made]))
+        ends.append(np.array([x for _, _, x in made]))
+        at = b
+    text.append(own[at:])
+    starts.append(np.arange(at, len(own)))
+    ends.append(np.arange(at + 1, len(own) + 1))
+    return "".join(text), np.concatenate(starts), np.concatenate(ends)
+
+
+def percent_signs(own: str) -> Iterator[tuple]:
+    for m in PERCENT.finditer(own):
+        raw, made, i = unquote_to_bytes(m[0]), [], 0
         while i < len(raw):  # one UTF-8 character, or one byte that isn't part of one
             size = next((n for n in (1, 2, 3, 4) if _utf8(raw[i : i + n], n)), 0)
-            text.append(raw[i : i + size].decode() if size else chr(raw[i]))
-            starts.append(m.start() + 3 * i), ends.append(m.start() + 3 * (i + max(1, size)))
+            made.append((raw[i : i + size].decode() if size else chr(raw[i]), m.start() + 3 * i, m.start() + 3 * (i + max(1, size))))
             i += max(1, size)
-    for i in range(at, len(own)):
-        text.append(own[i]), starts.append(i), ends.append(i + 1)
-    return "".join(text), starts, ends
+        yield m.start(), m.end(), made
 
 
 def _utf8(raw: bytes, n: int) -> bool:
@@ -80,17 +99,11 @@ def _utf8(raw: bytes, n: int) -> bool:
         return False
 
 
-def escape_layer(own: str) -> tuple[str, list[int], list[int]]:
-    text, starts, ends, at = [], [], [], 0
+def escape_signs(own: str) -> Iterator[tuple]:
     for m in ESCAPES.finditer(own):
-        for i in range(at, m.start()):
-            text.append(own[i]), starts.append(i), ends.append(i + 1)
         code = int(m[m.lastindex], 10 if m.lastindex == 5 else 16)
-        text.append(chr(code) if code < 0x110000 and not 0xD800 <= code < 0xE000 else "\ufffd"), starts.append(m.start()), ends.append(m.end())
-        at = m.end()
-    for i in range(at, len(own)):
-        text.append(own[i]), starts.append(i), ends.append(i + 1)
-    return "".join(text), starts, ends
+        x = chr(code) if code < 0x110000 and not 0xD800 <= code < 0xE000 else "\ufffd"
+        yield m.start(), m.end(), [(x, m.start(), m.end())]
 
 
 #: Where a compressed stream may begin, apart from zlib's two bytes, which are tried at the beginning and after / - _ only.
@@ -154,16 +167,19 @@ def unpacked(raw: bytes, at: int, ends: list[int]) -> Iterator[tuple[bytes, int]
         yield b"".join(held), size
 
 
-def views(raw: bytes, end: int) -> Iterator[tuple[str, list[int] | range, int]]:
+def views(raw: bytes, end: int) -> Iterator[tuple[str, np.ndarray | range, int]]:
     """Bytes as text, the byte of each character, and the character that `end` is. Secrets are ASCII, so bytes as
     characters show them in UTF-8 and all encodings like it; units of two bytes, without zeros, those in UTF-16 and UTF-32."""
     yield raw.decode("latin-1"), range(len(raw)), end
     if raw.count(0) >= 8:  # the shortest secret has more
         for order in "<>":
             for at in (0, 1):
-                units = struct.unpack_from(f"{order}{(len(raw) - at) // 2}H", raw, at)
-                kept = [at + 2 * i + (order == ">") for i, x in enumerate(units) if x]
-                yield "".join([chr(x) if x < 0xD800 or x > 0xDFFF else "\ufffd" for x in units if x]), kept, bisect_left(kept, end)
+                units = np.frombuffer(raw, f"{order}u2", (len(raw) - at) // 2, at).astype(np.uint16)
+                kept = np.flatnonzero(units)
+                units = units[kept]
+                units[(units >= 0xD800) & (units < 0xE000)] = 0xFFFD
+                kept = at + 2 * kept + (order == ">")
+                yield units.astype("<u2").tobytes().decode("utf-16-le"), kept, int(np.searchsorted(kept, end))
 
 
 class Whole:
@@ -205,31 +221,34 @@ def packed_layers(raw: bytes, size: int, starts: tuple[int, ...] = (0,)) -> Iter
 def base64_layers(own: str) -> Iterator[tuple]:
     """base64 in either alphabet, padded or not, wrapped or not, from each of the four alignments, as it may be glued to
     what comes before; and compressed streams in it."""
-    place = [i for m in re.finditer(r"[A-Za-z0-9+/_-]+", BREAK.sub(lambda m: " " * len(m[0]), own)) for i in range(*m.span())]
-    body = "".join([own[i] for i in place])
+    runs = [m.span() for m in RUN.finditer(BREAK.sub(lambda m: " " * len(m[0]), own))]
+    body = "".join([own[a:b] for a, b in runs])
     plain = body.replace("-", "+").replace("_", "/")
     if len(body) < 16:
         return
-    glued = [m.end() for m in re.finditer("[/_-]", body)] + [i for i in range(1, len(place)) if place[i] != place[i - 1] + 1]
+    place = np.concatenate([np.arange(a, b) for a, b in runs])
+    glued = [m.end() for m in re.finditer("[/_-]", body)] + list(accumulate(b - a for a, b in runs[:-1]))
     for k in range(4):
         part = plain[k:]
         part = part[: len(part) - (len(part) % 4 == 1)]
         raw = base64.b64decode(part + "=" * (-len(part) % 4))
         for text, at, _ in views(raw, len(raw)):
             if text:
-                yield text, [place[k + i // 3 * 4 + i % 3] for i in at], [place[k + i // 3 * 4 + i % 3 + 1] for i in at], len(text)
+                at = np.asarray(at)
+                first = k + at // 3 * 4 + at % 3
+                yield text, place[first], place[first + 1], len(text)
         yield from packed_layers(raw, len(own), (0, *((x - k) // 4 * 3 for x in glued if x > k and (x - k) % 4 == 0)))
 
 
 def url_layers(own: str) -> Iterator[tuple]:
-    text, starts, ends = url_layer(own)
-    yield text, starts, [x - 1 for x in ends], len(text)
+    text, starts, ends = decoded(own, percent_signs(own))
+    yield text, starts, ends - 1, len(text)
     yield from packed_layers(unquote_to_bytes(own), len(own))
 
 
 def escape_layers(own: str) -> Iterator[tuple]:
-    text, starts, ends = escape_layer(own)
-    yield text, starts, [x - 1 for x in ends], len(text)
+    text, starts, ends = decoded(own, escape_signs(own))
+    yield text, starts, ends - 1, len(text)
     yield from packed_layers(text.encode("latin-1", "replace"), len(own))
 
 
@@ -237,15 +256,15 @@ def layers(text: str) -> Iterator[Layer]:
     """All decoded layers of a text, worked off until none unwraps any further. A layer whose text was already seen at
     the same place isn't unwrapped again, so cycles end."""
     seen: set[tuple[int, int, bytes]] = set()
-    work = [Layer(text, [], [], 0, len(text))]
+    work = [Layer(text, None, None, 0, len(text))]
     while work:
         layer = work.pop()
         own = layer.text
         if not (MAY_HOLD.search(own) or WRAPPED.search(own)):
             continue
-        parts = [(m.start(), m.end(), url_layers) for m in URL.finditer(own)]
+        parts = [(*x, url_layers) for x in holding(URL, PERCENT, own)]
         # neighbouring escapes, with the characters of a word around them, are one part
-        parts += [(m.start(), m.end(), escape_layers) for m in re.finditer(rf"[^\s]*?(?:{ESCAPES.pattern})[^\s]*", own)]
+        parts += [(*x, escape_layers) for x in holding(WORD, ESCAPES, own)]
         wrapped = [(m.start(), m.end(), base64_layers) for m in WRAPPED.finditer(own)]
         begins = [x[0] for x in wrapped]
         alone = ((m.start(), m.end(), base64_layers) for m in BASE64.finditer(own))
@@ -263,10 +282,13 @@ def layers(text: str) -> Iterator[Layer]:
                     else:
                         ends = Whole(lasts.place + 1)
                 elif layer.depth:
-                    starts, ends = [layer.starts[a + i] for i in starts], [layer.ends[a + i] for i in lasts]
+                    if isinstance(layer.starts, Whole):
+                        starts, ends = layer.starts, layer.ends
+                    else:
+                        starts, ends = layer.starts[starts + a], layer.ends[lasts + a]
                 else:
-                    starts, ends = [a + i for i in starts], [a + i + 1 for i in lasts]
-                key = (starts[0], ends[-1], hashlib.sha256(new.encode("utf-8", "surrogatepass")).digest())
+                    starts, ends = (starts + a).astype(np.int32), (lasts + (a + 1)).astype(np.int32)
+                key = (int(starts[0]), int(ends[-1]), hashlib.sha256(new.encode("utf-8", "surrogatepass")).digest())
                 if key in seen:
                     continue
                 seen.add(key)
@@ -281,7 +303,7 @@ def scan(text: str | None) -> tuple[list[tuple[int, int, int]], list[tuple[int,
     inner, placed = [], set()
     if MAY_HOLD.search(text) or WRAPPED.search(text):
         for layer in layers(text):
-            own = [(layer.starts[a], k, layer.ends[b - 1], layer.depth, layer.text[a:b]) for a, k, b in found(layer.text) if a < layer.stop]
+            own = [(int(layer.starts[a]), k, int(layer.ends[b - 1]), layer.depth, layer.text[a:b]) for a, k, b in found(layer.text) if a < layer.stop]
             # views of the same bytes show the same match at the same place; a compressed layer has one place for all
             inner += own if isinstance(layer.starts, Whole) else [x for x in own if x not in placed]
             placed.update(own)
