@@ -18,7 +18,7 @@ from .common import table
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label map mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr br".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
-SILENT = frozenset("head script style template noscript svg math canvas object audio video iframe form button select textarea option datalist input dialog title xmp noembed noframes".split())
+SILENT = frozenset("head script style template noscript svg math canvas object audio video iframe button select textarea option datalist input dialog title xmp noembed noframes".split())
 #: A start tag of these ends an open p.
 ENDS_P = frozenset("address article aside blockquote center details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 #: Start tags that leave an open head open; any other, and text, end it.
@@ -30,7 +30,7 @@ SIBLINGS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}),
 #: Words in class, id and role that tell what a part is.
 SIDE = frozenset("ad ads advert advertisement adsense aside banner breadcrumb breadcrumbs byline cookie cookies comment comments consent disqus footer form header legal links login masthead menu meta modal nav navbar navigation newsletter notice pagination pager popup promo promoted related reply replies respond share sharing sidebar signup social sponsor sponsored subscribe tags toolbar topbar widget alert warning contentinfo complementary search".split())
 MAIN = frozenset("article articlebody body content entry main maincontent post story text".split())
-KINDS = {t: t for t in "nav header footer aside article main section div p li ul ol table td blockquote pre figure figcaption dl body html".split()} | {f"h{i}": "h" for i in range(1, 7)}
+KINDS = {t: t for t in "nav header footer aside article main section div p li ul ol table td blockquote pre figure figcaption dl form body html".split()} | {f"h{i}": "h" for i in range(1, 7)}
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.DOTALL)
 HINT = re.compile(r"(?:class|id|role|data-y)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.IGNORECASE)
@@ -46,6 +46,8 @@ class Node:
     words: int = 0
     linked: int = 0
     stops: int = 0
+    #: Whether it lies in a form: 0 no, 1 yes, 2 in one that holds most of the page's words.
+    form: int = 0
 
 
 def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
@@ -147,9 +149,21 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
             stack.append((name, len(nodes) - 1, False))
     close(1)
     end_block()
+    mark_forms(nodes)
     return nodes, blocks
 
 
+def mark_forms(nodes: list[Node]) -> None:
+    """Forms aren't content, but some sites wrap the whole page in one: the model sees which it is."""
+    if not any(x.tag == "form" for x in nodes):
+        return
+    total = [x.words for x in nodes]
+    for i in range(len(nodes) - 1, 0, -1):
+        total[nodes[i].parent] += total[i]
+    for i, x in enumerate(nodes[1:], 1):
+        x.form = (2 if 2 * total[i] > total[0] else 1) if x.tag == "form" and nodes[x.parent].form != 1 else nodes[x.parent].form
+
+
 def features(node: Node) -> tuple[str, ...]:
     """What the model sees of a node itself."""
     names = {w for x in HINT.findall(node.hints) for w in re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", x).lower())} if node.hints else ()
@@ -162,6 +176,7 @@ def features(node: Node) -> tuple[str, ...]:
         f"size:{size}",
         f"link:{0 if not node.words else 1 if share == 0 else 2 if share < 0.4 else 3}",
         f"stop:{min(2, node.stops)}" if node.words else "stop:none",
+        f"form:{node.form}",
     )
 
 
@@ -220,6 +235,10 @@ def labelled_pages(n: int, seed: int = 3) -> list[str]:
             return f"<{tag}>{inside}</{tag}>"
         return f'<{rng.choice(["div", "section", tag])} {rng.choice(["class", "id"])}="{name}">{inside}</{"x"}>'.replace("</x>", "</div>")
 
+    def form() -> str:
+        said_in = rng.choice(["", f"<p>{said(1, 3)}</p>", f"<h3>{words(1, 4)}</h3><p>{words(3, 12)}</p>", f"<div>{said(1, 2)}</div>"])
+        return f'<form{rng.choice(["", " class=signup", " id=f"])}>{said_in}<label>{words(1, 3)}</label><input name="q"><button>{words(1, 2)}</button></form>'
+
     def side(place: str) -> str:
         out = []
         if place == "top":
@@ -230,6 +249,8 @@ def labelled_pages(n: int, seed: int = 3) -> list[str]:
             out += [part("aside", rng.choice(["sidebar", "related", "widget"]), f"<h3>{words(1, 3)}</h3>" + rng.choice([items(6), f"<p>{said(1, 2)}</p>"]))] if rng.random() < 0.5 else []
             out += [f'<{(t := rng.choice(["section", "div"]))} {rng.choice(["class", "id"])}="{rng.choice(["comments", "comment-list", "replies"])}"><h3>{words(1, 2)}</h3>' + "".join(f'<div class="{rng.choice(["comment", "reply"])}"><p>{said(1, 4)}</p></div>' for _ in range(rng.randint(1, 5))) + f"</{t}>"] if rng.random() < 0.5 else []
             out += [part("footer", "footer", rng.choice([f"&copy; {words(1, 3)} &middot; {said(1, 3)}", f"<p>{said(1, 2)}</p>" + items(5)]))] if rng.random() < 0.9 else []
+        if rng.random() < 0.3:
+            out.insert(rng.randrange(len(out) + 1), form())
         if rng.random() < 0.5:
             out.insert(rng.randrange(len(out) + 1), f'<div class="{rng.choice(["ad", "ads", "advert", "banner", "promo", "sponsored"])}">{rng.choice([said(1, 2), words(2, 9), link(), f"<p>{said(1, 3)}</p>"])}</div>')
         return "".join(out)
@@ -251,13 +272,16 @@ def labelled_pages(n: int, seed: int = 3) -> list[str]:
                 out.append(f"<table{y}>" + "".join(f"<tr{y}><td{y}>{words(1, 3)}</td><td{y}>{words(1, 3)}</td></tr>" for _ in range(2)) + "</table>")
         if rng.random() < 0.25:
             out.insert(rng.randrange(1, len(out) + 1), rng.choice([f'<div class="{rng.choice(["share", "social", "ad", "related", "newsletter"])}">{rng.choice([items(4), words(2, 8), said(1, 2)])}</div>', f"<aside><p>{said(1, 2)}</p></aside>"]))
+        if rng.random() < 0.1:
+            out.insert(rng.randrange(len(out) + 1), form())
         return "".join(out)
 
     pages = []
     for _ in range(n):
         tag, name = rng.choice([("article", ""), ("article", ""), ("main", ""), ("div", ' class="content"'), ("div", ' id="post"'), ("div", ' class="entry"'), ("section", ' class="story"'), ("div", "")])
         body = side("top") + f"<{tag}{name}{y}>{content()}</{tag}>" + side("end")
-        pages.append(f"<html><head><title>{words(1, 5)}</title></head><body>{f'<div>{body}</div>' if rng.random() < 0.4 else body}</body></html>")
+        around = rng.choice(["form", "form", *["div"] * 8, *[""] * 10])  # some pages are one form
+        pages.append(f"<html><head><title>{words(1, 5)}</title></head><body>{f'<{around}>{body}</{around}>' if around else body}</body></html>")
     return pages
 
 

@@ -46,7 +46,7 @@ def test_sum_product_is_exact(model):
 def test_blocks():
     texts = lambda x: [t for _, t in parse(x)[1]]
     assert texts("<p>a &amp; b<p><b>c\n d&nbsp; e<br>f<p>g") == ["a & b", "c d e f", "g"]
-    assert texts("<script>x='</p><p>no'</script><style>p{}</style><!-- <p>no</p> --><p title='>'>yes</p><form><p>no</p></form>") == ["yes"]
+    assert texts("<script>x='</p><p>no'</script><style>p{}</style><!-- <p>no</p> --><p title='>'>yes</p><select><option>no</select>") == ["yes"]
     assert texts("<ul><li>a<li>b<ul><li>c</ul><li>d</ul>text") == ["a", "b", "c", "d", "text"]
     assert texts("<table><tr><td>a<td>b<tr><td>c</table><pre>x  y</pre></div>z") == ["a", "b", "c", "x y", "z"]
     assert texts("") == texts("<") [:0] == [] and texts("1 < 2 & 3") == ["1 < 2 & 3"] and texts("<script>never closed") == []
@@ -83,3 +83,13 @@ def test_edges(spark, model):
     out = extract_text(df, model).collect()
     assert len(out) == 5 and all(r.n_chars == len(r.text) for r in out) and main_text(None, model) == ""
     assert extract_text(df.limit(0), model).collect() == []
+
+
+def test_forms(model):
+    """A form's text goes, also within the article; an article in a form that wraps the page stays."""
+    said = "".join(f"<p>Sentence number {i} is written here. It has words and ends.</p>" for i in range(8))
+    want = re.sub(r"</?p>", "\n", said).replace("\n\n", "\n").strip()
+    small = "<form><p>Join our list of readers today. It is free.</p><input></form>"
+    assert main_text(f"<body><form><ul><li><a href=1>Home</a></li></ul><article>{said}</article></form></body>", model) == want
+    assert main_text(f"<body><article>{said}{small}</article></body>", model) == want
+    assert main_text(f"<body>{small}<article>{said}</article></body>", model) == want
