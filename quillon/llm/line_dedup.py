@@ -20,11 +20,12 @@ def drop_boilerplate_lines(docs: DataFrame, host: Column | None = None, ratio: f
     to broadcast (beyond BROADCAST_ROWS lines the join shuffles, and splits hot hosts).
 
     Null host: a host of its own. Null text stays null with 0 lines; blank lines are kept and not counted. All other
-    columns and all rows are kept; a text whose every line is boilerplate becomes empty.
+    columns (but those named n_lines and n_dropped) and all rows are kept; a text whose every line is boilerplate becomes
+    empty.
     """
     host = F.col("source") if host is None else host
     own = [c for c in docs.columns if c.lower() not in ("n_lines", "n_dropped")]
-    rows = docs.select(*own).withColumn("_host", F.coalesce(host.cast("string"), F.lit("")))
+    rows = docs.select(F.struct(*own).alias("_own"), "text", F.coalesce(host.cast("string"), F.lit("")).alias("_host"))
     split = F.split("text", "\n", -1)
     key = lambda x: F.xxhash64(F.col("_host"), F.trim(x))
     keys = F.array_distinct(F.transform(F.filter(split, lambda x: F.trim(x) != ""), key))
@@ -43,7 +44,7 @@ def drop_boilerplate_lines(docs: DataFrame, host: Column | None = None, ratio: f
     lines_of = lambda x: F.coalesce(F.size(F.filter(F.split(x, "\n", -1), lambda y: F.trim(y) != "")), F.lit(0))
     out = keep.withColumn("_text", F.array_join(kept, "\n")).withColumn("n_lines", F.when(F.col("text").isNull(), 0).otherwise(lines_of(F.col("text"))).cast("long"))
     out = out.withColumn("n_dropped", F.when(F.col("text").isNull(), 0).otherwise(F.col("n_lines") - lines_of(F.col("_text"))).cast("long"))
-    return out.select(*[F.col("_text").alias("text") if c == "text" else c for c in own], "n_lines", "n_dropped")
+    return out.select(*[F.col("_text" if c == "text" else f"_own.`{c}`").alias(c) for c in own], "n_lines", "n_dropped")
 
 
 def op8_line_dedup(spark, sf_dir: str) -> DataFrame:

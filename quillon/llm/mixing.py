@@ -24,11 +24,12 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: fl
     again, LEVELS times in all; nothing is sorted. The last bucket is taken if that comes closer to the budget.
 
     Null text: size 0. Null source: a source of its own, last. Null doc_id: hashes as the word null. Repeated doc_ids
-    share a hash and are taken together. Empty table: no rows. Clashing columns (size, target, ...) are replaced.
+    share a hash and are taken together. Empty table: no rows. Columns of these names are replaced,
+    all others kept.
     """
     own = [c for c in docs.columns if c.lower() not in ("size", "source_size", "target", "taken", "copies")]
     h36 = F.conv(F.substring(F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))), 1, BITS // 4), 16, 10).cast("long")
-    rows = docs.select(*own, n_words(F.col("text")).alias("size"), h36.alias("_h"))
+    rows = docs.select(F.struct(*own).alias("_own"), "source", n_words(F.col("text")).alias("size"), h36.alias("_h"))
     # the counts and hashes only, read LEVELS times
     sized = materialize(rows.select("source", "size", "_h").groupBy("source", "_h").agg(F.sum("size").alias("size")), "mix")
 
@@ -65,7 +66,7 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: fl
     cut = bound.select("_s", F.when((F.col("_extra") - F.col("_below")) * 2 > F.col("_n"), F.col("_p") + 1).otherwise(F.col("_p")).alias("_cut"))
     ends = goal.join(cut, F.col("source").eqNullSafe(F.col("_s")), "left").select(F.col("source").alias("_s"), "source_size", "target", "_k", F.coalesce("_cut", F.lit(0).cast("long")).alias("_cut"))
     copies = F.col("_k") + F.when(F.col("_h") < F.col("_cut"), 1).otherwise(0)
-    return rows.join(near(materialize(ends, "mix-cut")), F.col("source").eqNullSafe(F.col("_s"))).select(*own, "size", "source_size", "target", (F.col("size") * copies).cast("long").alias("taken"), copies.cast("long").alias("copies"))
+    return rows.join(near(materialize(ends, "mix-cut")), F.col("source").eqNullSafe(F.col("_s"))).select("_own.*", "size", "source_size", "target", (F.col("size") * copies).cast("long").alias("taken"), copies.cast("long").alias("copies"))
 
 
 def op3_source_mix(spark, sf_dir: str) -> DataFrame:

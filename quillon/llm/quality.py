@@ -125,10 +125,11 @@ HELD_OUT = "coalesce(crc32(cast(cast(doc_id as string) as binary)) % 5 = 0, fals
 
 def score_quality(docs: DataFrame, model: RuleModel, threshold: float = 0.3) -> DataFrame:
     """docs with held_out, score and predicted (1 if score >= threshold). Null and empty texts are scored as empty;
-    held_out is false for a null doc_id. Clashing columns are replaced."""
+    held_out is false for a null doc_id. Columns of these names are replaced, all others kept."""
     own = [c for c in docs.columns if c.lower() not in ("held_out", "score", "predicted")]
     score = model.score({k: F.col(f"_s.{k}") for k in NAMES})
-    out = with_statistics(docs.select(*own)).select(*own, F.expr(HELD_OUT).alias("held_out"), score.alias("score"))
+    rows = with_statistics(docs.select(F.struct(*own).alias("_own"), "doc_id", "text"))
+    out = rows.select("_own.*", F.expr(HELD_OUT).alias("held_out"), score.alias("score"))
     return out.withColumn("predicted", F.when(F.col("score") >= threshold, 1).otherwise(0))
 
 
