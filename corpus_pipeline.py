@@ -13,16 +13,23 @@ from quillon.llm.ngram_join import jaccard_groups
 from quillon.llm.quality import fit_rules, score_quality
 
 
+def whole(docs: DataFrame, *columns: str) -> DataFrame:
+    """The columns that an operator reads, and all of the row beside them, whatever names its columns have."""
+    return docs.select(F.struct(*docs.columns).alias("row"), *columns)
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rules, fitted on the labels of the input, don't reject."""
     model = fit_rules(docs, table(spark, sf_dir, "labels"))
-    return score_quality(docs, model).where("predicted = 1").select(docs.columns)
+    return score_quality(whole(docs, "doc_id", "text"), model).where("predicted = 1").select("row.*")
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without the lines that are boilerplate of their source; n_chars follows the text."""
-    out = drop_boilerplate_lines(docs)
-    return out.withColumn("n_chars", F.when(F.col("n_dropped") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(docs.columns)
+    out = drop_boilerplate_lines(whole(docs, "text", "source"))
+    size = F.when(F.col("n_dropped") > 0, F.length("text").cast("long")).otherwise(F.col("row.n_chars"))
+    new = {"text": F.col("text"), "n_chars": size}
+    return out.select(*[new.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
