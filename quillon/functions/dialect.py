@@ -8,12 +8,14 @@ from __future__ import annotations
 
 import operator
 from collections.abc import Iterable
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+ARITH = {"+": operator.add, "-": operator.sub, "*": operator.mul}
 COMPARE = {"=": operator.eq, "!=": operator.ne, "<>": operator.ne, "<": operator.lt, "<=": operator.le, ">": operator.gt, ">=": operator.ge}
 
 
@@ -28,6 +30,13 @@ def kind_of(t: T.DataType) -> str:
     return "bool" if isinstance(t, T.BooleanType) else "num" if isinstance(t, T.NumericType) else "other"
 
 
+def wrapped(x: Column) -> Column:
+    """A whole decimal number modulo 2^64, as a 64-bit integer."""
+    every = F.lit(Decimal(1 << 64)).cast("decimal(20,0)")
+    rest = F.pmod(x, every)
+    return F.when(rest >= F.lit(Decimal(1 << 63)), rest - every).otherwise(rest).cast("bigint")
+
+
 def ascii_lower(c: Column) -> Column:
     return F.translate(c, UPPER, LOWER)
 
@@ -106,7 +115,7 @@ class Expressions:
     # arithmetic
 
     def arith(self, a, op: str, b) -> Column:
-        """+ - * / %: integers as 64 bits, / truncates and % takes the dividend's sign; with a real operand / is real and
+        """+ - * / %: integers as 64 bits that wrap around, / truncates and % takes the dividend's sign; with a real operand / is real and
         % is floored. Division by zero and operands that aren't numbers give null."""
         a, b = self._col(a), self._col(b)
         x, y = self.type_of(a), self.type_of(b)
@@ -114,15 +123,26 @@ class Expressions:
             return F.lit(None).cast("bigint")
         whole = isinstance(x, T.IntegralType) and isinstance(y, T.IntegralType)
         a, b = (a.cast("bigint"), b.cast("bigint")) if whole else (a.cast("double"), b.cast("double"))
+        if op in "+-*" and whole:  # beyond 64 bits once more in decimals
+            tried = {"+": F.try_add, "-": F.try_subtract, "*": F.try_multiply}[op](a, b)
+            return F.coalesce(tried, wrapped(ARITH[op](a.cast("decimal(19,0)"), b.cast("decimal(19,0)"))))
         if op in "+-*":
-            return {"+": operator.add, "-": operator.sub, "*": operator.mul}[op](a, b)
+            return ARITH[op](a, b)
         b = F.nullif(b, F.lit(0).cast("bigint" if whole else "double"))
+        if whole and op == "/":
+            return F.when(b == -1, self._minus(a)).otherwise(F.call_function("div", a, b))
         if whole:
-            return F.call_function("div", a, b) if op == "/" else a % b
+            return a % b
         return a / b if op == "/" else a - b * F.floor(a / b)
 
     def minus(self, a: Column) -> Column:
+        if isinstance(self.type_of(a), T.IntegralType):
+            return self._minus(a.cast("bigint"))
         return -a if kind_of(self.type_of(a)) == "num" else F.lit(None).cast("bigint")
 
+    def _minus(self, a: Column) -> Column:
+        """The least integer stays itself."""
+        return F.coalesce(F.try_subtract(F.lit(0).cast("bigint"), a), a)
+
     def concat(self, *parts) -> Column:
         return F.concat(*[self._col(x).cast("string") for x in parts])

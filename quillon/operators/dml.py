@@ -6,7 +6,7 @@ writes as the next one. A filter's negation keeps null rows where the engine wou
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -30,6 +30,14 @@ class ColumnAlreadyExists(ValueError):
     pass
 
 
+class NoSuchTable(ValueError):
+    pass
+
+
+class TableAlreadyExists(ValueError):
+    pass
+
+
 def matches(df: DataFrame, column: str, value: object) -> Column:
     """Typed exact equality; a null value matches null rows."""
     kind = df.schema[column].dataType.typeName()
@@ -65,6 +73,21 @@ def delete_where(df: DataFrame, where: str, equals: object) -> DataFrame:
     return df.where(~matches(df, where, equals))
 
 
+def changes(df: DataFrame, where: str, equals: object) -> DataFrame:
+    """One row: how many rows an update or a delete with this condition changes."""
+    return df.where(matches(df, where, equals)).agg(F.count(F.lit(1)).alias("changes"))
+
+
+def rename_table(spark: SparkSession, old: str, new: str) -> None:
+    """Another name in the catalog for a table or view; its files stay where they are. An existing name is refused."""
+    if not spark.catalog.tableExists(old):
+        raise NoSuchTable(old)
+    if spark.catalog.tableExists(new):
+        raise TableAlreadyExists(new)
+    kind = "VIEW" if spark.catalog.getTable(old).tableType in ("VIEW", "TEMPORARY") else "TABLE"
+    spark.sql(f"ALTER {kind} {old} RENAME TO {new}")
+
+
 def add_column(df: DataFrame, name: str, kind: str) -> DataFrame:
     """A nullable column at the end; old rows have null."""
     if name.lower() in map(str.lower, df.columns):

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.dialect import wrapped
+
 
 class UnsupportedOperation(ValueError):
     """A combination that the engine rejects."""
@@ -21,8 +23,8 @@ def point_lookup(df: DataFrame, key: str, value: int) -> DataFrame:
 
 
 def key_exists(df: DataFrame, key: str, value: int) -> DataFrame:
-    """One row: 1 if the key exists, else 0. Only the key column is read."""
-    return df.where(F.col(key) == value).agg(F.least(F.count(F.lit(1)), F.lit(1)).alias("found"))
+    """One row: 1 if the key exists, else 0. Only the key column is read, up to the first match."""
+    return df.where(F.col(key) == value).select(key).limit(1).agg(F.least(F.count(F.lit(1)), F.lit(1)).alias("found"))
 
 
 def key_edge(df: DataFrame, key: str, largest: bool) -> DataFrame:
@@ -79,12 +81,22 @@ def keys_in_all(df: DataFrame, key: str, *sets: DataFrame) -> DataFrame:
 
 # aggregates: the whole input, one row
 
+
+
+def wrapping_sum(c: Column) -> Column:
+    """The sum modulo 2^64 of a 64-bit column: three partial sums of 22 and 21 bits each, which can't overflow below 2^41
+    rows, put together once at the end."""
+    part = lambda shift: F.sum(F.shiftright(c, shift) if shift == 42 else F.shiftright(c, shift).bitwiseAND(F.lit((1 << 21) - 1))).cast("decimal(38,0)")
+    whole = part(42) * F.lit(1 << 42).cast("decimal(14,0)") + part(21) * F.lit(1 << 21).cast("decimal(8,0)") + part(0)
+    return wrapped(whole)
+
+
 LABELS = {"count": "COUNT", "sum": "SUM", "min": "MIN", "max": "MAX", "avg": "AVG"}
 
 
 def aggregate(df: DataFrame, *items: tuple[str, str] | tuple[str, str, str]) -> DataFrame:
     """(function, column or "*"[, label]) for COUNT, SUM, MIN, MAX and AVG. Nulls don't count; without rows COUNT is 0 and
-    the others null. SUM of integers is a 64-bit integer, text adds 0 to a SUM."""
+    the others null. SUM of integers is a 64-bit integer that wraps around, text adds 0 to a SUM."""
     out = []
     for fn, column, *label in items:
         fn = fn.lower()
@@ -97,8 +109,11 @@ def aggregate(df: DataFrame, *items: tuple[str, str] | tuple[str, str, str]) ->
             continue
         c = F.col(column)
         t = df.select(c.alias("c")).dtypes[0][1]
-        if fn == "sum" or fn == "avg":
-            c = F.when(c.isNotNull(), F.lit(0)) if t in ("string", "binary") else c.cast("bigint") if t in ("tinyint", "smallint", "int") and fn == "sum" else c
+        if t in ("string", "binary") and fn in ("sum", "avg"):
+            c = F.when(c.isNotNull(), F.lit(0))
+        elif t in ("tinyint", "smallint", "int", "bigint") and fn == "sum":
+            out.append(wrapping_sum(c.cast("bigint")).alias(*(label or [LABELS[fn]])))
+            continue
         out.append(getattr(F, fn)(c).alias(*(label or [LABELS[fn]])))
     return df.agg(*out)
 

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.dialect import Expressions
+from ..functions.terms import SUFFIXES
 from ..operators import dml
 from ..operators import relational as R
-from ..sources.tables import KEYS, describe, table
+from ..sources.tables import KEYS, describe, scratch, table
 from . import search as S
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -138,12 +140,13 @@ query("keys_in_all", "SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderk
 # full-text search
 
 
-def fts_sql(terms: list[str], columns: list[str], weights: list[float], where: str = "true", limit: int | None = 10, select: str = "doc_id, round(score, 9) AS score, hits, doc_len") -> str:
+def fts_sql(terms: list[str], columns: list[str], weights: list[float], where: str = "true", limit: int | None = 10, select: str = "doc_id, round(score, 9) AS score, hits, doc_len", order: str = "ORDER BY exact, doc_id", term: str = "term") -> str:
+    """`term`: the SQL of a term of the index. The order is by the exact score, not by the rounded one that is shown."""
     toks = " UNION ALL ".join(f"SELECT doc_id, {i} AS col, unnest(regexp_split_to_array(lower({c}), '[^a-z0-9]+')) AS term FROM documents" for i, c in enumerate(columns))
     w = "1.0::DOUBLE" if not weights else "CASE col " + " ".join(f"WHEN {i} THEN {float(x)}::DOUBLE" for i, x in enumerate(weights)) + " ELSE 1.0::DOUBLE END"
     n = len(set(terms))
     return f"""
-WITH tok AS (SELECT * FROM ({toks}) WHERE term <> ''),
+WITH tok AS (SELECT doc_id, col, {term} AS term FROM ({toks}) WHERE term <> ''),
 len AS (SELECT d.doc_id, count(t.term) AS doc_len FROM documents d LEFT JOIN tok t ON t.doc_id = d.doc_id GROUP BY d.doc_id),
 st AS (SELECT count(*) AS n, sum(doc_len)::DOUBLE / count(*) AS avg_len FROM len),
 tf AS (SELECT doc_id, term, count(*) AS tf, sum({w}) AS w FROM tok WHERE term IN ({", ".join(f"'{t}'" for t in terms)}) GROUP BY doc_id, term),
@@ -153,7 +156,7 @@ s AS (SELECT tf.doc_id, len.doc_len, tf.tf,
         * w * 2.2::DOUBLE / (w + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * doc_len / avg_len)) AS score
       FROM tf JOIN df USING (term) JOIN len USING (doc_id) CROSS JOIN st),
 r AS (SELECT doc_id, doc_len, sum(score) AS score, CAST(sum(tf) AS BIGINT) AS hits FROM s GROUP BY doc_id, doc_len HAVING count(*) = {n})
-SELECT {select} FROM (SELECT r.* FROM r JOIN documents USING (doc_id) WHERE {where}) ORDER BY score, doc_id {'' if limit is None else f'LIMIT {limit}'}"""
+SELECT {select} FROM (SELECT r.*, r.score AS exact, source, lang FROM r JOIN documents USING (doc_id) WHERE {where}) {order} {'' if limit is None else f'LIMIT {limit}'}"""
 
 
 def _fts(name: str, query_text: str, columns: list[str], weights: tuple = (), filters: tuple = (), where: str = "true", limit: int | None = 10) -> None:
@@ -162,19 +165,49 @@ def _fts(name: str, query_text: str, columns: list[str], weights: tuple = (), fi
     )
 
 
-_fts("fts_single", "the", ["text"], limit=20)
+_fts("fts_single", "anea", ["text"], limit=20)
 _fts("fts_multi_and", "tion the", ["text"])
 _fts("fts_weighted", "src3 the", ["source", "text"], weights=(5.0, 1.0))
 _fts("fts_filtered_eq", "tion", ["text"], filters=("lang=en",), where="lang = 'en'")
-_fts("fts_filtered_contains", "the", ["text"], filters=("source~=SRC1",), where="lower(source) LIKE '%src1%'")
-_fts("fts_filtered_range", "the", ["text"], filters=("n_chars>=500", "n_chars<='2000'"), where="n_chars >= 500 AND n_chars <= 2000")
+_fts("fts_filtered_contains", "thor", ["text"], filters=("source~=SRC1",), where="lower(source) LIKE '%src1%'")
+_fts("fts_filtered_range", "thin", ["text"], filters=("n_chars>=500", "n_chars<='2000'"), where="n_chars >= 500 AND n_chars <= 2000")
 _fts("fts_all_hits", "the of", ["text"], limit=None)
-query("fts_stats", fts_sql(["tion", "the"], ["text"], [], limit=None, select="""(SELECT count(*) FROM documents) AS total_rows, (SELECT round(avg_len, 3) FROM st) AS avg_doc_len, count(*) AS rows_with_term, CAST(coalesce(sum(hits), 0) AS BIGINT) AS total_hits""").replace("ORDER BY score, doc_id", ""))(lambda s, d: S.search_stats(table(s, d, "documents"), "doc_id", ["text"], "tion the"))
-query("fts_hydrated", fts_sql(["the"], ["text"], [], select="doc_id, round(score, 9) AS score, hits, (SELECT source FROM documents x WHERE x.doc_id = doc_id_) AS source").replace("SELECT r.* FROM r", "SELECT r.*, r.doc_id AS doc_id_ FROM r"))(
-    lambda s, d: S.hydrate(S.search(t := table(s, d, "documents"), "doc_id", ["text"], "the"), t, "doc_id", ["source"]).select("doc_id", F.round("score", 9).alias("score"), "hits", "source")
+query("fts_stats", fts_sql(["tion", "the"], ["text"], [], limit=None, select="""(SELECT count(*) FROM documents) AS total_rows, (SELECT round(avg_len, 3) FROM st) AS avg_doc_len, count(*) AS rows_with_term, CAST(coalesce(sum(hits), 0) AS BIGINT) AS total_hits""", order=""))(lambda s, d: S.search_stats(table(s, d, "documents"), "doc_id", ["text"], "tion the"))
+query("fts_hydrated", fts_sql(["ther"], ["text"], [], select="doc_id, round(score, 9) AS score, hits, source"))(
+    lambda s, d: S.hydrate(S.search(t := table(s, d, "documents"), "doc_id", ["text"], "ther"), t, "doc_id", ["source"]).select("doc_id", F.round("score", 9).alias("score"), "hits", "source")
 )
-query("fts_json")(lambda s, d: S.hydrated_json(S.search(t := table(s, d, "documents"), "doc_id", ["text"], "the"), t, "doc_id", ["source", "lang"]))
-query("fts_stemmed")(lambda s, d: S.search(table(s, d, "documents"), "doc_id", ["text"], "tions ered", stem="light").select("doc_id", F.round("score", 9).alias("score"), "hits", "doc_len"))
+RESULT = "json_object('rowid', doc_id, 'rank_score', round(score, 6), 'hits', hits, 'doc_len', doc_len, 'column_hits', [hits], 'columns', json_object('source', source, 'lang', lang))"
+query("fts_json", fts_sql(["thre"], ["text"], [], select=f"doc_id AS rowid, round(score, 9) AS rank_score, CAST({RESULT} AS VARCHAR) AS json"))(
+    lambda s, d: S.hydrated_json(S.search(t := table(s, d, "documents"), "doc_id", ["text"], "thre"), t, "doc_id", ["source", "lang"], digits=6).withColumn("rank_score", F.round("rank_score", 9))
+)
+query("fts_envelope", "WITH hit AS (" + fts_sql(["eren"], ["text"], [], select=f"{RESULT} AS result, exact, doc_id", limit=5) + "), stat AS (" + fts_sql(["eren"], ["text"], [], limit=None, order="", select="""
+  (SELECT count(*) FROM documents) AS total_rows, (SELECT round(avg_len, 3) FROM st) AS avg_doc_len, count(*) AS rows_with_term, CAST(coalesce(sum(hits), 0) AS BIGINT) AS total_hits""") + """)
+SELECT CAST(json_object('status', 'ok', 'table', 'documents', 'query', 'eren', 'total_rows', total_rows, 'rows_with_term', rows_with_term, 'total_hits', total_hits, 'avg_doc_len', avg_doc_len,
+  'results', (SELECT coalesce(to_json(list(result ORDER BY exact, doc_id)), '[]'::JSON) FROM hit), 'count', (SELECT count(*) FROM hit)) AS VARCHAR) AS json FROM stat""")(
+    lambda s, d: S.envelope(table(s, d, "documents"), "doc_id", ["text"], "eren", "documents", 5, ["source", "lang"], digits=6)
+)
+
+
+@query("fts_indexed", fts_sql(["src3", "than"], ["source", "text"], [2.0, 1.0]))
+def fts_indexed(spark, d):
+    """A search over a saved index: only the buckets of its two terms are read."""
+    t, path = table(spark, d, "documents"), f"{scratch(spark)}/index-{uuid.uuid4().hex}"
+    S.save_index(t, "doc_id", ["source", "text"], path)
+    return S.search(t, "doc_id", ["source", "text"], "src3 than", weights=(2.0, 1.0), index=path).select("doc_id", F.round("score", 9).alias("score"), "hits", "doc_len")
+
+
+def stem_sql(w: str) -> str:
+    """The light stemmer's three steps in SQL, the same at index and query time."""
+    ends = lambda s, *suffixes: "(" + " OR ".join(f"suffix({s}, '{x}')" for x in suffixes) + ")"
+    drop = lambda s, n: f"left({s}, length({s}) - {n})"
+    voiced = lambda s, n: f"regexp_matches({drop(s, n)}, '[aeiou]')"
+    one = f"(CASE WHEN {ends(w, 'sses', 'ies')} THEN {drop(w, 2)} WHEN {ends(w, 's')} AND NOT {ends(w, 'ss')} AND {voiced(w, 1)} THEN {drop(w, 1)} ELSE {w} END)"
+    two = f"(SELECT CASE WHEN length(a) > 5 AND {ends('a', 'ing')} AND {voiced('a', 3)} THEN {drop('a', 3)} WHEN length(a) > 4 AND {ends('a', 'ed')} AND {voiced('a', 2)} THEN {drop('a', 2)} ELSE a END FROM (SELECT {one} AS a))"
+    rest = " ".join(f"WHEN {ends('b', s)} AND length(b) > {len(s) + 2} THEN {drop('b', len(s))}" for s in SUFFIXES)
+    return f"(CASE WHEN length({w}) <= 2 THEN {w} ELSE (SELECT CASE {rest} ELSE b END FROM (SELECT {two} AS b)) END)"
+
+
+query("fts_stemmed", fts_sql(["tion", "eren"], ["text"], [], term=stem_sql("term")))(lambda s, d: S.search(table(s, d, "documents"), "doc_id", ["text"], "tions erens", stem="light").select("doc_id", F.round("score", 9).alias("score"), "hits", "doc_len"))
 LINE = "' ' || array_to_string(list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda x: x <> ''), ' ') || ' '"
 query("fts_phrase", f"SELECT doc_id FROM documents WHERE contains({LINE}, ' of the ')")(lambda s, d: S.phrase(table(s, d, "documents"), "doc_id", ["text"], "of the"))
 query("fts_near", f"SELECT doc_id FROM documents WHERE regexp_matches({LINE}, ' for(?: [^ ]+){{0,2}} the ')")(lambda s, d: S.phrase(table(s, d, "documents"), "doc_id", ["text"], "for the", gap=2))
@@ -188,10 +221,35 @@ query("dml_insert", "SELECT * FROM region UNION ALL SELECT 9, 'NEW'")(lambda s,
 query("dml_insert_null_key", "SELECT * FROM nation UNION ALL SELECT CAST(max(n_nationkey) + 1 AS INTEGER), 'NEW', 1 FROM nation")(lambda s, d: dml.insert_row(table(s, d, "nation"), (None, "NEW", 1), "n_nationkey"))
 query("dml_update", "SELECT c_custkey, c_name, c_nationkey, c_acctbal, CASE WHEN c_nationkey = 7 THEN 'MOVED' ELSE c_mktsegment END AS c_mktsegment FROM customer")(lambda s, d: dml.update_where(table(s, d, "customer"), "c_mktsegment", "MOVED", "c_nationkey", 7, "c_custkey"))
 query("dml_delete", "SELECT * FROM customer WHERE c_nationkey <> 7")(lambda s, d: dml.delete_where(table(s, d, "customer"), "c_nationkey", 7))
+query("dml_update_count", "SELECT count(*) AS changes FROM customer WHERE c_nationkey = 7")(lambda s, d: dml.changes(table(s, d, "customer"), "c_nationkey", 7))
+query("dml_delete_count", "SELECT count(*) AS changes FROM customer WHERE c_mktsegment = 'BUILDING'")(lambda s, d: dml.changes(table(s, d, "customer"), "c_mktsegment", "BUILDING"))
 query("ddl_add_column", "SELECT *, CAST(NULL AS VARCHAR) AS email FROM supplier")(lambda s, d: dml.add_column(table(s, d, "supplier"), "email", "string"))
 query("ddl_rename", "SELECT r_regionkey AS key, r_name FROM region")(lambda s, d: table(s, d, "region").withColumnRenamed("r_regionkey", "key"))
 
 
+@query("ddl_rename_table", "SELECT * FROM supplier")
+def ddl_rename_table(spark, d):
+    """A catalog name of its own, renamed: the new name reads the table, the old one is gone."""
+    old, new = (f"suppliers_{x}_{uuid.uuid4().hex}" for x in ("old", "new"))
+    table(spark, d, "supplier").createOrReplaceTempView(old)
+    dml.rename_table(spark, old, new)
+    assert not spark.catalog.tableExists(old)
+    return spark.table(new)
+
+
+@query("expr_wrapping", "SELECT o_orderkey, CAST(-9223372036854775808::HUGEINT + o_orderkey AS BIGINT) AS a, CAST(9223372036854775807::HUGEINT - o_orderkey AS BIGINT) AS s, CAST(((o_orderkey::HUGEINT * 4611686018427387904::HUGEINT) % 18446744073709551616::HUGEINT + 27670116110564327424::HUGEINT) % 18446744073709551616::HUGEINT - 9223372036854775808::HUGEINT AS BIGINT) AS m FROM orders")
+def expr_wrapping(spark, d):
+    """Sums, differences and products beyond 64 bits wrap around: 2^63 - 1 + 1 + k, -2^63 - (k + 1) and k * 2^62."""
+    t = table(spark, d, "orders")
+    e, k = Expressions(t), C("o_orderkey").cast("bigint")
+    return t.select("o_orderkey", e.arith(F.lit((1 << 63) - 1), "+", k + 1).alias("a"), e.arith(F.lit(-(1 << 63)), "-", k + 1).alias("s"), e.arith(k, "*", F.lit(1 << 62)).alias("m"))
+
+
+@query("agg_sum_wraps", "SELECT CAST((s % 18446744073709551616::HUGEINT + 27670116110564327424::HUGEINT) % 18446744073709551616::HUGEINT - 9223372036854775808::HUGEINT AS BIGINT) AS s FROM (SELECT sum(o_orderkey * 922337203685477::HUGEINT) AS s FROM orders)")
+def agg_sum_wraps(spark, d):
+    return R.aggregate(table(spark, d, "orders").select((C("o_orderkey") * 922337203685477).alias("v")), ("sum", "v", "s"))
+
+
 @query("log_replay", """
 SELECT o_orderkey, o_custkey, CASE WHEN o_orderkey % 10 = 3 THEN 'U' ELSE o_orderstatus END AS o_orderstatus FROM orders WHERE o_orderkey % 10 <> 4
 UNION ALL SELECT -1 - o_orderkey, o_custkey, 'N' FROM orders WHERE o_orderkey % 10 = 5""")

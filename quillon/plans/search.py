@@ -22,6 +22,10 @@ class InvalidFilter(ValueError):
     pass
 
 
+class ColumnNotFound(ValueError):
+    pass
+
+
 def postings(docs: DataFrame, key: str, columns: Sequence[str], stem: str = "none", mode: str = "ascii") -> DataFrame:
     """(term, key, col, tf, positions). One row for each document, column and term; a document's terms are grouped by
     (key, column, term), so no key of the shuffle is frequent."""
@@ -43,23 +47,48 @@ def save_index(docs: DataFrame, key: str, columns: Sequence[str], path: str, ste
     p = postings(docs, key, columns, stem, mode).select("*", bucket)
     p.repartition("bucket", F.pmod(F.xxhash64(key), F.lit(8))).sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
     lengths(docs, key, columns, mode).write.mode("overwrite").parquet(f"{path}/lengths")
+    totals(docs.sparkSession.read.parquet(f"{path}/lengths")).write.mode("overwrite").parquet(f"{path}/totals")
 
 
-def saved_hits(spark, path: str, terms: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+def totals(sizes: DataFrame) -> DataFrame:
+    """One row: n, avg_len."""
+    return sizes.agg(F.count(F.lit(1)).alias("n"), (F.sum("doc_len") / F.nullif(F.count(F.lit(1)), F.lit(0))).alias("avg_len"))
+
+
+def saved_hits(spark, path: str, terms: Sequence[str]) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The terms' postings, all lengths and their totals, from a saved index."""
     p = spark.read.parquet(f"{path}/postings")
     buckets = spark.range(1).select(*[F.pmod(F.xxhash64(F.lit(t)), F.lit(TERM_BUCKETS)).cast("int") for t in terms]).first()
-    return p.where(F.col("bucket").isin(*set(buckets)) & F.col("term").isin(*set(terms))), spark.read.parquet(f"{path}/lengths")
+    return p.where(F.col("bucket").isin(*set(buckets)) & F.col("term").isin(*set(terms))), spark.read.parquet(f"{path}/lengths"), spark.read.parquet(f"{path}/totals")
 
 
-def scanned_hits(docs: DataFrame, key: str, columns: Sequence[str], terms: Sequence[str], stem: str, mode: str) -> DataFrame:
-    """The postings of some terms from the texts: tokens that aren't searched for never leave the row."""
-    if stem == "light":
-        return postings(docs, key, columns, stem, mode).where(F.col("term").isin(*set(terms)))
-    wanted = F.array(*[F.lit(t) for t in dict.fromkeys(terms)])
-    texts = F.array(*[F.struct(F.lit(i).alias("col"), tokens(F.col(c), mode).alias("terms")) for i, c in enumerate(columns)])
-    rows = docs.select(key, F.explode(texts).alias("t")).select(key, "t.col", "t.terms", F.explode(F.array_intersect(wanted, "t.terms")).alias("term"))
-    places = F.filter(F.transform("terms", lambda w, i: F.struct(i.alias("i"), w.alias("w"))), lambda x: x["w"] == F.col("term"))
-    return rows.select("term", key, "col", F.transform(places, lambda x: x["i"]).alias("positions")).select("term", key, "col", F.size("positions").cast("long").alias("tf"), "positions")
+def counted(docs: DataFrame, key: str, columns: Sequence[str], terms: Sequence[str], mode: str, keep: Column) -> DataFrame:
+    """(key, doc_len, keep, tf): each row is tokenised once, and only counts leave it; tf has an array of a count for each
+    column for each different term."""
+    rows = docs.select(key, keep.alias("keep"), *[tokens(F.col(c), mode).alias(f"_{i}") for i, c in enumerate(columns)])
+    own = [F.col(f"_{i}") for i in range(len(columns))]
+    is_word = lambda w: lambda x: x == w
+    tf = [F.array(*[F.size(F.filter(t, is_word(w))).cast("long") for t in own]) for w in dict.fromkeys(terms)]
+    return rows.select(key, "keep", reduce(lambda a, b: a + b, map(F.size, own)).cast("long").alias("doc_len"), F.array(*tf).alias("tf"))
+
+
+def total_of(counts: Column) -> Column:
+    return F.aggregate(counts, F.lit(0).cast("long"), lambda a, x: a + x)
+
+
+def scored_rows(rows: DataFrame, key: str, terms: Sequence[str], weights: Sequence[float], n_columns: int) -> DataFrame:
+    """As `scored`, from `counted` rows: one aggregate for the statistics, and one pass that scores each row by itself; no
+    shuffle but for the best ones."""
+    often = Counter(terms)
+    weight = [float(weights[i]) if i < len(weights) else 1.0 for i in range(n_columns)]
+    has = [total_of(F.col("tf")[k]) > 0 for k in range(len(often))]
+    n_t = [F.count(F.when(h, 1)).alias(f"n{k}") for k, h in enumerate(has)]
+    stats = rows.agg(F.count(F.lit(1)).alias("n"), (F.sum("doc_len") / F.nullif(F.count(F.lit(1)), F.lit(0))).alias("avg_len"), *n_t)
+    found = rows.where(reduce(lambda a, b: a & b, has) & F.col("keep")).crossJoin(F.broadcast(stats))  # one row
+    score = [bm25(F.col("n"), F.col(f"n{k}"), reduce(lambda a, b: a + b, [F.col("tf")[k][i] * w for i, w in enumerate(weight)]), F.col("doc_len"), F.col("avg_len")) * m for k, m in enumerate(often.values())]
+    by_column = [reduce(lambda a, b: a + b, [F.col("tf")[k][i] * m for k, m in enumerate(often.values())]) for i in range(n_columns)]
+    out = found.select(key, reduce(lambda a, b: a + b, score).alias("score"), "doc_len", F.array(*by_column).alias("column_hits"))
+    return out.select(key, "score", total_of(F.col("column_hits")).alias("hits"), "doc_len", "column_hits")
 
 
 def bm25(n: Column, n_t: Column, tf: Column, doc_len: Column, avg_len: Column) -> Column:
@@ -70,13 +99,12 @@ def bm25(n: Column, n_t: Column, tf: Column, doc_len: Column, avg_len: Column) -
     return F.when((tf > 0) & (avg_len > 0) & (n > 0), score).otherwise(F.lit(0.0))
 
 
-def scored(hits: DataFrame, sizes: DataFrame, key: str, terms: Sequence[str], weights: Sequence[float], n_columns: int) -> DataFrame:
+def scored(hits: DataFrame, sizes: DataFrame, stats: DataFrame, key: str, terms: Sequence[str], weights: Sequence[float], n_columns: int) -> DataFrame:
     """(key, score, hits, doc_len, column_hits) of documents that have all terms; repeated terms count as often."""
     often = Counter(terms)
     times = F.create_map(*[F.lit(x) for t, n in often.items() for x in (t, n)])
     weight = F.element_at(F.array(*[F.lit(float(weights[i]) if i < len(weights) else 1.0) for i in range(n_columns)]), F.col("col") + 1)
     by_term = hits.groupBy(key, "term").agg(F.sum(F.col("tf") * weight).alias("w"), F.sum("tf").alias("tf"), *[F.sum(F.when(F.col("col") == i, F.col("tf")).otherwise(0)).alias(f"_c{i}") for i in range(n_columns)])
-    stats = sizes.agg(F.count(F.lit(1)).alias("n"), (F.sum("doc_len") / F.count(F.lit(1))).alias("avg_len"))  # one row
     df = by_term.groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))  # a row for each term of the query
     rows = by_term.join(F.broadcast(df), "term").join(sizes, key).crossJoin(F.broadcast(stats)).withColumn("m", F.element_at(times, F.col("term")))
     score = bm25(F.col("n"), F.col("n_t"), F.col("w"), F.col("doc_len"), F.col("avg_len"))
@@ -108,13 +136,17 @@ def search(docs: DataFrame, key: str, columns: Sequence[str], query: str, limit:
     terms = query_terms(query, stem)
     if not terms:
         raise UnsupportedQuery(query)
-    if index:
-        hits, sizes = saved_hits(docs.sparkSession, index, terms)
+    keep = reduce(lambda a, b: a & b, [parse_filter(f, docs) for f in filters], F.lit(True))
+    if not index and stem == "none":
+        out = scored_rows(counted(docs, key, columns, terms, mode, keep), key, terms, weights, len(columns))
     else:
-        hits, sizes = scanned_hits(docs, key, columns, terms, stem, mode), lengths(docs, key, columns, mode)
-    out = scored(hits, sizes, key, terms, weights, len(columns))
-    if filters:
-        out = out.join(docs.where(reduce(lambda a, b: a & b, [parse_filter(f, docs) for f in filters])).select(key), key, "left_semi")
+        if index:
+            hits, sizes, stats = saved_hits(docs.sparkSession, index, terms)
+        else:
+            hits, sizes = postings(docs, key, columns, stem, mode).where(F.col("term").isin(*set(terms))), lengths(docs, key, columns, mode)
+            stats = totals(sizes)
+        out = scored(hits, sizes, stats, key, terms, weights, len(columns))
+        out = out.join(docs.where(keep).select(key), key, "left_semi") if filters else out
     out = out.orderBy("score", key)
     return out if limit is None else out.limit(limit)
 
@@ -122,25 +154,68 @@ def search(docs: DataFrame, key: str, columns: Sequence[str], query: str, limit:
 def search_stats(docs: DataFrame, key: str, columns: Sequence[str], query: str, stem: str = "none", mode: str = "ascii") -> DataFrame:
     """One row: total_rows, rows_with_term (rows that have all terms), total_hits, avg_doc_len."""
     terms = query_terms(query, stem)
-    sizes = lengths(docs, key, columns, mode)
-    found = scored(scanned_hits(docs, key, columns, terms, stem, mode), sizes, key, terms, (), len(columns))
-    a = sizes.agg(F.count(F.lit(1)).alias("total_rows"), F.round(F.sum("doc_len") / F.count(F.lit(1)), 3).alias("avg_doc_len"))
-    return a.crossJoin(F.broadcast(found.agg(F.count(F.lit(1)).alias("rows_with_term"), F.coalesce(F.sum("hits"), F.lit(0)).alias("total_hits"))))
+    rows_with_term, total_hits = F.count(F.lit(1)).alias("rows_with_term"), F.coalesce(F.sum("hits"), F.lit(0)).alias("total_hits")
+    if stem == "none":
+        rows = counted(docs, key, columns, terms, mode, F.lit(True))
+        n = F.count(F.lit(1))
+        a = rows.agg(n.alias("total_rows"), F.round(F.sum("doc_len") / F.nullif(n, F.lit(0)), 3).alias("avg_doc_len"))
+        found = scored_rows(rows, key, terms, (), len(columns))
+    else:
+        sizes = lengths(docs, key, columns, mode)
+        a = totals(sizes).select(F.col("n").alias("total_rows"), F.round("avg_len", 3).alias("avg_doc_len"))
+        found = scored(postings(docs, key, columns, stem, mode).where(F.col("term").isin(*set(terms))), sizes, totals(sizes), key, terms, (), len(columns))
+    return a.crossJoin(F.broadcast(found.agg(rows_with_term, total_hits)))
 
 
 def hydrate(found: DataFrame, content: DataFrame, key: str, columns: Sequence[str] = ()) -> DataFrame:
-    """Hits with the columns of their rows: the k hits are the side to broadcast."""
+    """Hits with the columns of their rows. Without a hint: all hits of a search without limit may be many."""
     chosen = [c for c in (columns or content.columns) if c != key]
-    return content.select(key, *chosen).join(F.broadcast(found), key).orderBy("score", key)
+    return content.select(key, *chosen).join(found, key).orderBy("score", key)
+
+
+def chosen_columns(text: str, content: DataFrame) -> list[str]:
+    """A comma-separated list of columns; empty, * or - stand for all."""
+    if text.strip() in ("", "*", "-"):
+        return content.columns
+    known = {c.lower(): c for c in content.columns}
+    out = [x.strip() for x in text.split(",") if x.strip()]
+    if unknown := [x for x in out if x.lower() not in known]:
+        raise ColumnNotFound(", ".join(unknown))
+    return [known[x.lower()] for x in out]
+
+
+def column_weights(text: str) -> list[float]:
+    """Comma-separated weights of the searched columns; empty or - stand for none."""
+    return [] if text.strip() in ("", "-") else [float(x) for x in text.split(",")]
 
 
-def hydrated_json(found: DataFrame, content: DataFrame, key: str, columns: Sequence[str] = ()) -> DataFrame:
+def hits_text(found: DataFrame, key: str, limit: int = 1000) -> str:
+    """A line for each of the best `limit` hits, for people: key|score|hits=|doc_len=|c0=, ..."""
+    return "\n".join("|".join([str(r[key]), f"{r.score:.15f}", f"hits={r.hits}", f"doc_len={r.doc_len}", *(f"c{i}={n}" for i, n in enumerate(r.column_hits))]) for r in found.orderBy("score", key).take(limit))
+
+
+def hydrated_json(found: DataFrame, content: DataFrame, key: str, columns: Sequence[str] = (), digits: int = 15) -> DataFrame:
     """(rowid, rank_score, json) of each hit; binary columns are null and control characters spaces."""
+    rows = with_result(found, content, key, columns, digits)
+    return rows.select(F.col(key).alias("rowid"), F.col("score").alias("rank_score"), F.to_json("result", {"ignoreNullFields": "false"}).alias("json"))
+
+
+def envelope(docs: DataFrame, key: str, search_columns: Sequence[str], query: str, name: str, limit: int = 10, columns: Sequence[str] = (), digits: int = 15, **how) -> DataFrame:
+    """One row with the whole answer as JSON: statistics of the query and the best `limit` rows, best first."""
+    found = with_result(search(docs, key, search_columns, query, limit, **how), docs, key, columns, digits)
+    best = found.agg(F.sort_array(F.collect_list(F.struct("score", key, "result"))).alias("best"))  # limit rows
+    stats = search_stats(docs, key, search_columns, query, how.get("stem", "none"), how.get("mode", "ascii"))
+    fields = [F.lit("ok").alias("status"), F.lit(name).alias("table"), F.lit(query).alias("query"), "total_rows", "rows_with_term", "total_hits", "avg_doc_len"]
+    fields += [F.transform("best", lambda x: x["result"]).alias("results"), F.size("best").alias("count")]
+    return stats.crossJoin(F.broadcast(best)).select(F.to_json(F.struct(*fields), {"ignoreNullFields": "false"}).alias("json"))
+
+
+def with_result(found: DataFrame, content: DataFrame, key: str, columns: Sequence[str], digits: int) -> DataFrame:
     rows = hydrate(found, content, key, columns)
     kinds = dict(content.dtypes)
     shown = [F.lit(None).cast("string").alias(c) if kinds[c] == "binary" else F.regexp_replace(c, r"[\x00-\x08\x0B\x0C\x0E-\x1F]", " ").alias(c) if kinds[c] == "string" else F.col(c) for c in (columns or content.columns)]
-    fields = F.struct(F.col(key).alias("rowid"), F.round("score", 15).alias("rank_score"), "hits", "doc_len", "column_hits", F.struct(*shown).alias("columns"))
-    return rows.select(F.col(key).alias("rowid"), F.col("score").alias("rank_score"), F.to_json(fields, {"ignoreNullFields": "false"}).alias("json"))
+    fields = F.struct(F.col(key).alias("rowid"), F.round("score", digits).alias("rank_score"), "hits", "doc_len", "column_hits", F.struct(*shown).alias("columns"))
+    return rows.select(key, "score", fields.alias("result"))
 
 
 # richer queries: sets of keys from positions

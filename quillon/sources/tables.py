@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import json
+import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 #: Words in a declared type and the Spark type that they stand for, the first that fits.
 AFFINITY = (("INT", "bigint"), ("CHAR", "string"), ("CLOB", "string"), ("TEXT", "string"), ("BLOB", "binary"), ("REAL", "double"), ("FLOA", "double"), ("DOUB", "double"))
@@ -24,6 +24,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def scratch(spark: SparkSession) -> str:
+    """A folder that driver and executors share: spark.checkpoint.dir; where it is unset, a local one on a local master."""
+    if own := spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir():
+        return own
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    spark.sparkContext.setCheckpointDir(own := tempfile.mkdtemp(prefix="quillon-"))
+    return own
+
+
 def describe(df: DataFrame, name: str) -> DataFrame:
     """A row for each column: table, position, name, type."""
     rows = [(name, i, f.name, f.dataType.simpleString()) for i, f in enumerate(df.schema)]
@@ -34,8 +44,17 @@ def with_rowid(df: DataFrame, order: list[str]) -> DataFrame:
     """A dense _rowid from 1 in an order that must be total, without a single-task sort: rows are ranged, counted by
     partition, and numbered from the partition's offset."""
     ranged = df.repartitionByRange(*[F.col(c) for c in order]).sortWithinPartitions(*order)
-    schema = T.StructType([T.StructField("_rowid", T.LongType()), *df.schema.fields])
-    return ranged.rdd.zipWithIndex().map(lambda x: (x[1] + 1, *x[0])).toDF(schema)
+    # the upper bits of the id are the partition, the lower 33 the row's place in it
+    placed = ranged.withColumn("_at", F.monotonically_increasing_id())
+    part, place = F.shiftright("_at", 33), F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
+    sizes = placed.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n")).orderBy("part").collect()  # a row for each partition
+    before, starts = 0, []
+    for r in sizes:
+        starts.append((r.part, before))
+        before += r.n
+    offsets = df.sparkSession.createDataFrame(starts, "_part long, _before long")
+    numbered = placed.withColumn("_part", part).join(F.broadcast(offsets), "_part")
+    return numbered.select((F.col("_before") + place + 1).alias("_rowid"), *df.columns)
 
 
 def shown(value: object) -> str:
@@ -43,9 +62,11 @@ def shown(value: object) -> str:
 
 
 def as_text(df: DataFrame, name: str, key: str | None = None, limit: int = 1000) -> str:
-    """A result as text; it is meant for people, so at most `limit` rows are fetched."""
-    rows = df.limit(limit).collect()
-    head = [f"table: {name}", f"columns: [{', '.join(df.columns)}]", f"rows: {len(rows)}"]
+    """A result as text; it is meant for people, so at most `limit` rows are shown, and how many there are."""
+    rows = df.limit(limit + 1).collect()
+    n = len(rows) if len(rows) <= limit else f"{df.count()}, the first {limit} shown"
+    rows = rows[:limit]
+    head = [f"table: {name}", f"columns: [{', '.join(df.columns)}]", f"rows: {n}"]
     return "\n".join(head + [f"{r[key] if key else '-'}: [{', '.join(f'{c}={shown(r[c])}' for c in df.columns)}]" for r in rows])
 
 

@@ -11,7 +11,6 @@ from quillon.functions.terms import UnsupportedQuery, light_stem, query_terms
 from quillon.operators import dml
 from quillon.operators import relational as R
 from quillon.plans import search as S
-from quillon.sources.sqlite import SQLiteSource
 from quillon.sources.tables import affinity, as_text, json_error, with_rowid
 from quillon.streaming import replay
 
@@ -142,16 +141,51 @@ def test_log_stream(spark, tmp_path):
     assert version == 2 and lsn == 4
 
 
-def test_sources(spark, tmp_path):
-    con = sqlite3.connect(tmp_path / "x.db")
-    con.execute("CREATE TABLE t(id INTEGER PRIMARY KEY, name VARCHAR(9), r REAL, b BLOB)")
-    con.executemany("INSERT INTO t VALUES (?, ?, ?, ?)", [(i, f"n{i}", i / 2, b"\x01") for i in range(1, 100)] + [(200, None, None, None)])
-    con.commit()
-    con.close()
-    spark.dataSource.register(SQLiteSource)
-    t = spark.read.format("sqlite_file").option("path", str(tmp_path / "x.db")).option("table", "t").load()
-    assert t.count() == 100 and t.where("id = 7").first().asDict() == {"_rowid": 7, "id": 7, "name": "n7", "r": 3.5, "b": bytearray(b"\x01")}
+def test_sources(spark):
+    t = spark.createDataFrame([(7, "n7", bytearray(b"\x01"))], "id long, name string, b binary")
     assert [affinity(x) for x in ("BIGINT", "varchar(3)", "", "BLOB", "FLOAT", "DECIMAL")] == ["bigint", "string", "binary", "binary", "double", "double"]
-    assert as_text(t.where("id = 7").drop("r"), "t", "_rowid") == "table: t\ncolumns: [_rowid, id, name, b]\nrows: 1\n7: [_rowid=7, id=7, name='n7', b=<blob 1 bytes>]"
+    assert as_text(t, "t", "id") == "table: t\ncolumns: [id, name, b]\nrows: 1\n7: [id=7, name='n7', b=<blob 1 bytes>]"
+    assert "rows: 30, the first 20 shown" in as_text(spark.range(30).toDF("id"), "t", "id", limit=20)
     assert json.loads(json_error("X", "y"))["count"] == 0
-    assert [tuple(r) for r in with_rowid(spark.createDataFrame([(3,), (1,), (2,)], "x int"), ["x"]).orderBy("_rowid").collect()] == [(1, 1), (2, 2), (3, 3)]
+    rows = with_rowid(spark.createDataFrame([(x,) for x in (3, 1, 2, 9, 8, 7)], "x int").repartition(3), ["x"]).orderBy("_rowid").collect()
+    assert [tuple(r) for r in rows] == list(enumerate([1, 2, 3, 7, 8, 9], 1))
+
+
+def test_wrapping(spark):
+    """64-bit results wrap around, in expressions and in sums."""
+    lo, hi = -(1 << 63), (1 << 63) - 1
+    rows = [(lo, 1), (hi, 1), (hi, hi), (lo, lo), (lo, -1), (hi, -1), (1 << 62, 4), (5, None), (-7, 2), (hi, 0)]
+    t = spark.createDataFrame(rows, "a long, b long")
+    e, wrap = Expressions(t), lambda x: (x - lo) % (1 << 64) + lo
+    got = t.select(*[e.arith(C("a"), o, C("b")).alias(n) for o, n in zip("+-*/", "pmtd", strict=True)], e.minus(C("a")).alias("n")).collect()
+    for (a, b), r in zip(rows, got, strict=True):
+        assert r.n == wrap(-a)
+        assert (r.p, r.m, r.t) == ((None,) * 3 if b is None else (wrap(a + b), wrap(a - b), wrap(a * b)))
+        assert r.d == (None if not b else wrap((abs(a) // abs(b)) * (1 if (a < 0) == (b < 0) else -1)))
+    assert R.aggregate(t, ("sum", "a"), ("sum", "b", "b")).first()[:] == (wrap(sum(a for a, _ in rows)), wrap(sum(b or 0 for _, b in rows)))
+    assert R.aggregate(t.where("a = 6"), ("sum", "a")).first()[0] is None
+
+
+def test_lists_and_text(spark):
+    t = spark.createDataFrame(DOCS, "id long, a string, b string")
+    for text in ("", " * ", "-"):
+        assert S.chosen_columns(text, t) == ["id", "a", "b"]
+    assert S.chosen_columns(" B, id ", t) == ["b", "id"] and S.column_weights("5, 1.5") == [5.0, 1.5] and S.column_weights("-") == S.column_weights("") == []
+    with pytest.raises(S.ColumnNotFound):
+        S.chosen_columns("a, nobody", t)
+    assert S.hits_text(S.search(t, "id", ["a", "b"], "here"), "id").split("|")[2:] == ["hits=1", "doc_len=3", "c0=0", "c1=1"]
+    assert S.search(t.limit(0), "id", ["a", "b"], "here").collect() == []
+    found = json.loads(S.envelope(t, "id", ["a", "b"], "contract", "t").first().json)
+    assert found["count"] == 2 and [x["rowid"] for x in found["results"]] == [2, 1] and found["total_rows"] == 5 and found["total_hits"] == 2
+    assert json.loads(S.envelope(t, "id", ["a", "b"], "absent", "t").first().json)["results"] == []
+
+
+def test_rename_table(spark):
+    spark.range(3).createOrReplaceTempView("scratch_one")
+    spark.range(2).createOrReplaceTempView("scratch_two")
+    for error, names in ((dml.TableAlreadyExists, ("scratch_one", "scratch_two")), (dml.NoSuchTable, ("nobody", "x"))):
+        with pytest.raises(error):
+            dml.rename_table(spark, *names)
+    dml.rename_table(spark, "scratch_one", "scratch_three")
+    assert spark.table("scratch_three").count() == 3 and not spark.catalog.tableExists("scratch_one")
+    assert dml.changes(spark.table("scratch_three"), "id", 1).first().changes == 1
