@@ -245,9 +245,9 @@ def expr_wrapping(spark, d):
     return t.select("o_orderkey", e.arith(F.lit((1 << 63) - 1), "+", k + 1).alias("a"), e.arith(F.lit(-(1 << 63)), "-", k + 1).alias("s"), e.arith(k, "*", F.lit(1 << 62)).alias("m"))
 
 
-@query("agg_sum_wraps", "SELECT CAST((s % 18446744073709551616::HUGEINT + 27670116110564327424::HUGEINT) % 18446744073709551616::HUGEINT - 9223372036854775808::HUGEINT AS BIGINT) AS s FROM (SELECT sum(o_orderkey * 922337203685477::HUGEINT) AS s FROM orders)")
+@query("agg_sum_wraps", "SELECT CAST((s % 18446744073709551616::HUGEINT + 27670116110564327424::HUGEINT) % 18446744073709551616::HUGEINT - 9223372036854775808::HUGEINT AS BIGINT) AS s FROM (SELECT sum(9223372036854775807::HUGEINT - o_orderkey) AS s FROM orders)")
 def agg_sum_wraps(spark, d):
-    return R.aggregate(table(spark, d, "orders").select((C("o_orderkey") * 922337203685477).alias("v")), ("sum", "v", "s"))
+    return R.aggregate(table(spark, d, "orders").select((F.lit((1 << 63) - 1) - C("o_orderkey")).alias("v")), ("sum", "v", "s"))
 
 
 @query("log_replay", """
