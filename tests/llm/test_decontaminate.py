@@ -46,6 +46,17 @@ def test_planted(spark):
     assert find_leaks(df.limit(0), bench).collect() == [] and find_leaks(df, bench.limit(0)).collect() == []
 
 
+def test_word_for_word_leaks_without_the_latent_search(spark):
+    """With a cosine that nothing reaches, anchors alone still find all word-for-word leaks, also of one word, and in each
+    of a doc_id's texts."""
+    items = [(1, "serendipity"), (2, "the quick brown fox"), (3, " ".join(f"q{i}" for i in range(150)))]
+    filler = " ".join(f"w{i}" for i in range(90))
+    docs = [(1, f"a happy Serendipity, {filler}"), (2, filler), (3, f"{filler} The quick (brown) fox"), (4, f"{filler} {items[2][1]} {filler}"), (5, "serendipity"), (5, f"x {items[1][1]}")]
+    df, bench = spark.createDataFrame(docs, "doc_id long, text string").repartition(2), spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r for r in find_leaks(df, bench, cosine=2.0).collect()}
+    assert set(got) == {(1, 1), (3, 2), (4, 3), (5, 1), (5, 2)} and all(r.lcs == 1 and r.cosine is None for r in got.values())
+
+
 def test_query(spark, sf):
     docs = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
     items = {r.item_id: b" " + b" ".join(words(r.text.encode())) + b" " for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()}
