@@ -39,10 +39,11 @@ def drop_boilerplate_lines(docs: DataFrame, host: Column | None = None, ratio: f
     by_host = bad.groupBy("_host").agg(F.collect_list("_key").alias("_bad"))
     by_host = F.broadcast(by_host) if bad.count() <= BROADCAST_ROWS else by_host
     none = F.array().cast("array<bigint>")
-    keep = rows.join(by_host, "_host", "left").withColumn("_bad", F.coalesce("_bad", none))
-    kept = F.filter(split, lambda x: ~F.array_contains(F.col("_bad"), key(x)))
+    # the page's own boilerplate, by a hash set of the host's; most pages have little or none
+    keep = rows.join(by_host, "_host", "left").withColumn("_hit", F.array_intersect(keys, F.coalesce("_bad", none)))
+    kept = F.array_join(F.filter(split, lambda x: ~F.array_contains(F.col("_hit"), key(x))), "\n")
     lines_of = lambda x: F.coalesce(F.size(F.filter(F.split(x, "\n", -1), lambda y: F.trim(y) != "")), F.lit(0))
-    out = keep.withColumn("_text", F.array_join(kept, "\n")).withColumn("n_lines", F.when(F.col("text").isNull(), 0).otherwise(lines_of(F.col("text"))).cast("long"))
+    out = keep.withColumn("_text", F.when(F.size("_hit") > 0, kept).otherwise(F.col("text"))).withColumn("n_lines", F.when(F.col("text").isNull(), 0).otherwise(lines_of(F.col("text"))).cast("long"))
     out = out.withColumn("n_dropped", F.when(F.col("text").isNull(), 0).otherwise(F.col("n_lines") - lines_of(F.col("_text"))).cast("long"))
     return out.select(*[F.col("_text" if c == "text" else f"_own.`{c}`").alias(c) for c in own], "n_lines", "n_dropped")
 
