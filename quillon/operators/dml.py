@@ -6,6 +6,8 @@ writes as the next one. A filter's negation keeps null rows where the engine wou
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,6 +40,10 @@ class TableAlreadyExists(ValueError):
     pass
 
 
+class SchemaChangeInBatch(ValueError):
+    pass
+
+
 def matches(df: DataFrame, column: str, value: object) -> Column:
     """Typed exact equality; a null value matches null rows."""
     kind = df.schema[column].dataType.typeName()
@@ -78,6 +84,17 @@ def changes(df: DataFrame, where: str, equals: object) -> DataFrame:
     return df.where(matches(df, where, equals)).agg(F.count(F.lit(1)).alias("changes"))
 
 
+def batch(df: DataFrame, *statements: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The table after several inserts, updates and deletes, each of which sees those before it: one transformation, written
+    as one version. If one is refused none takes effect, as df itself doesn't change. Schema changes are refused."""
+    out = df
+    for change in statements:
+        out = change(out)
+        if out.dtypes != df.dtypes:
+            raise SchemaChangeInBatch(f"{df.columns} to {out.columns}")
+    return out
+
+
 def rename_table(spark: SparkSession, old: str, new: str) -> None:
     """Another name in the catalog for a table or view; its files stay where they are. An existing name is refused."""
     if not spark.catalog.tableExists(old):

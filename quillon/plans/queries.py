@@ -211,6 +211,17 @@ query("fts_stemmed", fts_sql(["tion", "eren"], ["text"], [], term=stem_sql("term
 LINE = "' ' || array_to_string(list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda x: x <> ''), ' ') || ' '"
 query("fts_phrase", f"SELECT doc_id FROM documents WHERE contains({LINE}, ' of the ')")(lambda s, d: S.phrase(table(s, d, "documents"), "doc_id", ["text"], "of the"))
 query("fts_near", f"SELECT doc_id FROM documents WHERE regexp_matches({LINE}, ' for(?: [^ ]+){{0,2}} the ')")(lambda s, d: S.phrase(table(s, d, "documents"), "doc_id", ["text"], "for the", gap=2))
+query("fts_near_any_order", f"SELECT doc_id FROM documents WHERE regexp_matches({LINE}, ' tion(?: [^ ]+){{0,4}} the ') OR regexp_matches({LINE}, ' the(?: [^ ]+){{0,4}} tion ')")(lambda s, d: S.near(table(s, d, "documents"), "doc_id", ["text"], "tion the", gap=4))
+query("fts_snippet", "WITH best AS (" + fts_sql(["ther"], ["text"], [], select="doc_id") + """),
+p AS (SELECT doc_id, text, regexp_extract_all(text, '[A-Za-z0-9]+[^A-Za-z0-9]*') AS parts FROM documents WHERE doc_id IN (SELECT doc_id FROM best)),
+h AS (SELECT doc_id, i FROM (SELECT doc_id, parts, unnest(range(len(parts))) AS i FROM p) WHERE lower(regexp_extract(parts[i + 1], '^[A-Za-z0-9]+')) = 'ther'),
+w AS (SELECT a.doc_id, a.i, count(*) AS n FROM h a JOIN h b ON a.doc_id = b.doc_id AND b.i >= a.i AND b.i < a.i + 8 GROUP BY a.doc_id, a.i),
+f AS (SELECT doc_id, i FROM w QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, i) = 1),
+m AS (SELECT doc_id, i, text, len(parts) > i + 8 AS cut, list_transform(parts[i + 1 : i + 8], lambda x, k: CASE WHEN lower(regexp_extract(x, '^[A-Za-z0-9]+')) = 'ther' THEN '[' || regexp_extract(x, '^[A-Za-z0-9]+') || ']' ELSE regexp_extract(x, '^[A-Za-z0-9]+') END
+        || CASE WHEN len(parts) > i + 8 AND k = 8 THEN '' ELSE regexp_extract(x, '^[A-Za-z0-9]+([^A-Za-z0-9]*)', 1) END) AS shown FROM p JOIN f USING (doc_id))
+SELECT doc_id, CASE WHEN i > 0 THEN '...' ELSE regexp_extract(text, '^[^A-Za-z0-9]*') END || array_to_string(shown, '') || CASE WHEN cut THEN '...' ELSE '' END AS snippet FROM m""")(
+    lambda s, d: S.snippets(S.search(t := table(s, d, "documents"), "doc_id", ["text"], "ther"), t, "doc_id", "text", "ther", size=8)
+)
 query("fts_prefix", f"SELECT doc_id FROM documents WHERE contains({LINE}, ' erea')")(lambda s, d: S.prefix(table(s, d, "documents"), "doc_id", ["text"], "erea"))
 query("fts_boolean", f"SELECT doc_id FROM documents WHERE contains({LINE}, ' the ') AND (contains({LINE}, ' ereat ') OR contains({LINE}, ' tion ')) AND NOT contains({LINE}, ' with ')")(
     lambda s, d: S.boolean(table(s, d, "documents"), "doc_id", ["text"], all_of=["the"], any_of=["ereat", "tion"], none_of=["with"])
@@ -223,6 +234,12 @@ query("dml_update", "SELECT c_custkey, c_name, c_nationkey, c_acctbal, CASE WHEN
 query("dml_delete", "SELECT * FROM customer WHERE c_nationkey <> 7")(lambda s, d: dml.delete_where(table(s, d, "customer"), "c_nationkey", 7))
 query("dml_update_count", "SELECT count(*) AS changes FROM customer WHERE c_nationkey = 7")(lambda s, d: dml.changes(table(s, d, "customer"), "c_nationkey", 7))
 query("dml_delete_count", "SELECT count(*) AS changes FROM customer WHERE c_mktsegment = 'BUILDING'")(lambda s, d: dml.changes(table(s, d, "customer"), "c_mktsegment", "BUILDING"))
+query("dml_batch", "SELECT c_custkey, c_name, c_nationkey, c_acctbal, CASE WHEN c_nationkey = 7 THEN 'MOVED' ELSE c_mktsegment END AS c_mktsegment FROM customer WHERE c_mktsegment <> 'BUILDING' UNION ALL SELECT 999999999, 'NEW', 3, 0.5, 'NONE'")(
+    lambda s, d: dml.batch(
+        table(s, d, "customer"), lambda t: dml.delete_where(t, "c_mktsegment", "BUILDING"),
+        lambda t: dml.update_where(t, "c_mktsegment", "MOVED", "c_nationkey", 7, "c_custkey"), lambda t: dml.insert_row(t, (999999999, "NEW", 3, 0.5, "NONE"), "c_custkey"),
+    )
+)
 query("ddl_add_column", "SELECT *, CAST(NULL AS VARCHAR) AS email FROM supplier")(lambda s, d: dml.add_column(table(s, d, "supplier"), "email", "string"))
 query("ddl_rename", "SELECT r_regionkey AS key, r_name FROM region")(lambda s, d: table(s, d, "region").withColumnRenamed("r_regionkey", "key"))
 

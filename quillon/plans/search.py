@@ -236,6 +236,44 @@ def phrase(docs: DataFrame, key: str, columns: Sequence[str], words: str, gap: i
     return docs.where(own).select(key)
 
 
+def near(docs: DataFrame, key: str, columns: Sequence[str], words: str, gap: int = 10, mode: str = "ascii") -> DataFrame:
+    """Keys of documents that have the words in one column in any order, with at most `gap` words between the first and the
+    last of them. One walk over a column's words keeps where each word was seen last."""
+    terms = list(dict.fromkeys(query_terms(words)))
+    never = F.array(*[F.lit(-(1 << 40)) for _ in terms])
+    start = F.struct(F.lit(0).cast("long").alias("at"), never.alias("last"), F.lit(False).alias("ok"))
+
+    def walk(state: Column, word: Column) -> Column:
+        last = F.array(*[F.when(word == t, state["at"]).otherwise(state["last"][k]) for k, t in enumerate(terms)])
+        close = state["at"] - F.array_min(last) <= gap + 1
+        return F.struct((state["at"] + 1).alias("at"), last.alias("last"), (state["ok"] | close).alias("ok"))
+
+    own = F.lit(False)
+    for c in columns:
+        own = own | F.aggregate(tokens(F.col(c), mode), start, walk, lambda state: state["ok"])
+    return docs.where(own).select(key)
+
+
+def snippets(found: DataFrame, content: DataFrame, key: str, column: str, query: str, size: int = 32, marks: tuple[str, str] = ("[", "]"), more: str = "...") -> DataFrame:
+    """(key, snippet) of hits: the `size` words of a column, from a hit on, with the most hits (the first such), as they are
+    written, hits between marks, and `more` where text is left out. Without a hit in this column: its first words."""
+    terms = F.array(*[F.lit(t) for t in dict.fromkeys(query_terms(query))])
+    part = r"([A-Za-z0-9]+)([^A-Za-z0-9]*)"  # a word, and what follows it
+    word, rest = (lambda x: F.regexp_extract(x, part, 1)), (lambda x: F.regexp_extract(x, part, 2))
+    rows = content.join(found.select(key), key, "left_semi").select(key, F.coalesce(F.col(column), F.lit("")).alias("text"))
+    rows = rows.withColumn("parts", F.regexp_extract_all("text", F.lit(part), 0))
+    is_hit = F.transform("parts", lambda x: F.array_contains(terms, F.lower(word(x))))
+    rows = rows.withColumn("hit", is_hit).withColumn("at", F.filter(F.transform("hit", lambda x, i: F.when(x, i)), lambda i: i.isNotNull()))
+    # at most `size` hits lie in a window
+    inside = F.transform("at", lambda p, k: F.struct(F.size(F.filter(F.slice(F.col("at"), k + 1, size), lambda q: q < p + size)).alias("n"), (-p).alias("before")))
+    rows = rows.withColumn("start", F.coalesce(-F.array_max(inside)["before"], F.lit(0)))
+    cut = F.size("parts") > F.col("start") + size
+    name = lambda x, i: F.when(F.col("hit")[F.col("start") + i], F.concat(F.lit(marks[0]), word(x), F.lit(marks[1]))).otherwise(word(x))
+    shown = F.transform(F.slice("parts", F.col("start") + 1, size), lambda x, i: F.concat(name(x, i), F.when(cut & (i == size - 1), "").otherwise(rest(x))))
+    before = F.when(F.col("start") > 0, F.lit(more)).otherwise(F.regexp_extract("text", "^[^A-Za-z0-9]*", 0))
+    return rows.select(key, F.concat(before, F.concat_ws("", shown), F.when(cut, more).otherwise("")).alias("snippet"))
+
+
 def prefix(docs: DataFrame, key: str, columns: Sequence[str], start: str, mode: str = "ascii") -> DataFrame:
     """Keys of documents that have a word with this beginning."""
     own = F.lit(False)

@@ -95,6 +95,32 @@ def test_bm25_against_sqlite(spark, tmp_path):
     assert json.loads(S.hydrated_json(S.search(t, "id", ["a", "b"], "here"), t, "id").first().json)["columns"] == {"id": 3, "a": "other", "b": "nothing here"}
 
 
+def test_near_and_snippet(spark):
+    """NEAR in any order as the embedded engine has it; snippets of hits."""
+    texts = ["a b c d", "d x a", "a x x x d", "D, x; x, a x", "a", "", None, "d x x x x x a x d a"]
+    con = sqlite3.connect(":memory:")
+    con.execute("CREATE VIRTUAL TABLE f USING fts5(t)")
+    con.executemany("INSERT INTO f(rowid, t) VALUES (?, ?)", list(enumerate(texts)))
+    t = spark.createDataFrame(list(enumerate(texts)), "id long, t string")
+    for words in ("a d", "d a b", "a", "a a", "x d"):
+        for gap in (0, 1, 2, 3):
+            want = [r[0] for r in con.execute(f"SELECT rowid FROM f WHERE f MATCH 'NEAR({words}, {gap})' ORDER BY rowid")]
+            assert sorted(r.id for r in S.near(t, "id", ["t"], words, gap).collect()) == want, (words, gap)
+    cut = lambda q, **k: {r.id: r.snippet for r in S.snippets(t.where("id < 6"), t, "id", "t", q, **k).collect()}
+    assert cut("a", size=2) == {0: "[a] b...", 1: "...[a]", 2: "[a] x...", 3: "...[a] x", 4: "[a]", 5: ""}
+    assert cut("d x", size=3)[3] == "[D], [x]; [x]..." and cut("nobody", size=2)[3] == "D, x..."
+
+
+def test_batch(spark):
+    t = spark.createDataFrame([(1, "a"), (2, "b")], "id long, v string")
+    put, cut = (lambda x: dml.insert_row(x, (None, "c"), "id")), (lambda x: dml.delete_where(x, "v", "c"))
+    assert ids(dml.batch(t, put, put)) == [1, 2, 3, 4] and ids(dml.batch(t, put, cut)) == [1, 2] == ids(dml.batch(t))
+    for error, bad in ((dml.SchemaChangeInBatch, lambda x: dml.add_column(x, "e", "int")), (dml.DuplicateRowid, lambda x: dml.insert_row(x, (3, "d"), "id"))):
+        with pytest.raises(error):
+            dml.batch(t, put, bad)
+    assert ids(t) == [1, 2]
+
+
 def test_terms_and_filters(spark):
     assert light_stem("negligence") == "neglig" and light_stem("classes") == "class" and light_stem("running") == "runn" and light_stem("is") == "is"
     assert query_terms("Contract  law") == ["contract", "law"] and query_terms("negligence", "light") == ["neglig"]
