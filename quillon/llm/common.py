@@ -67,12 +67,12 @@ def hot_join(left: DataFrame, right: DataFrame, on: str, how: str = "inner", few
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
     """(id, component) of every id in edges(a, b), null-free longs: component is the smallest id that is reachable.
 
-    Each round every vertex takes the first of itself and its neighbours in some order, and the graph is contracted to
-    these. The first order is that of the ids, so stars and cliques need one round; the others are random ones (a hash
-    with the round's number), in which the vertices that keep edges become fewer by a constant factor on average, on
-    chains by half: the rounds grow with the logarithm of the longest path. The smallest id of each contracted vertex is
-    found at the end. Aggregations are partial and joins are `hot_join`s, so a hub is no single task's; each round's
-    tables are written to the shared folder.
+    Each round every vertex takes the first of itself and its neighbours in some order, then what that one took, and the
+    graph is contracted to these: all of them are reachable, so paths stay paths. The first order is that of the ids, so
+    stars and cliques need one round; the others are random ones (a hash with the round's number), in which the vertices
+    that keep edges become fewer by a constant factor on average: the rounds grow with the logarithm of the longest path.
+    The smallest id of each contracted vertex is found at the end. Aggregations are partial and joins are `hot_join`s, so a
+    hub is no single task's; each round's tables are written to the shared folder.
     """
     live = materialize(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), name)
     steps: list[tuple[DataFrame, bool]] = []
@@ -81,7 +81,10 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
         both = live.unionAll(live.select(F.col("b").alias("a"), F.col("a").alias("b")))
         first = both.groupBy(F.col("a").alias("id")).agg(F.min(place("b")).alias("least"), F.min_by("b", place("b")).alias("b"))
         hop = materialize(first.select("id", F.when(F.col("least") < place("id"), F.col("b")).otherwise(F.col("id")).alias("to")), name)
-        steps.append((hop, few := is_small(hop)))
+        few = is_small(hop)
+        hop = hot_join(hop, hop.select(F.col("id").alias("to"), F.col("to").alias("end")), "to", few=few).select("id", F.col("end").alias("to"))
+        hop = hop if few else materialize(hop, name)
+        steps.append((hop, few))
         moved = hot_join(live, hop.select(F.col("id").alias("a"), F.col("to").alias("ta")), "a", few=few)
         moved = hot_join(moved, hop.select(F.col("id").alias("b"), F.col("to").alias("tb")), "b", few=few).where("ta <> tb")
         # a vertex that took another hangs below it; its own neighbours reach the root through (to, neighbour's to)
