@@ -26,6 +26,8 @@ ITEMS, TERMS = 20_000, 65_536
 STRIP, TERM_BLOCK, PARTS = 4096, 256, 32
 #: Gaps between neighbouring terms count up to this.
 GAP = 63
+#: Pairs of neighbouring terms, none within another's reach, by which an item is also looked up.
+ANCHORS = 3
 #: Folds A-Z to lower case and ASCII marks to spaces.
 FOLD = bytes(x + 32 if 65 <= x <= 90 else x if 48 <= x <= 57 or 97 <= x <= 122 or x >= 128 else 32 for x in range(256))
 
@@ -54,7 +56,7 @@ class Latent:
 
 @dataclass(frozen=True)
 class Anchors:
-    """Each item's rarest pair of neighbouring terms, as sorted codes, with the item and the pair's offset in it."""
+    """Each item's rarest pairs of neighbouring terms, as sorted codes, with the item and the pair's offset in it."""
 
     codes: np.ndarray
     item: np.ndarray
@@ -146,21 +148,34 @@ def pair_codes(terms: np.ndarray, spots: np.ndarray) -> np.ndarray:
 
 
 def anchors_of(items: list[Item], place: dict[bytes, int], idf: np.ndarray) -> Anchors:
-    """Of an item with one term, that term is the anchor."""
+    """The ANCHORS rarest pairs of each item that don't overlap, so that a changed word spoils one of them at most. Of an
+    item with one term, that term is the anchor."""
     codes, which, offsets = [], [], []
     for i, x in enumerate(items):
         found = [(k, place[w]) for k, w in enumerate(x.words) if w in place]
         spots, terms = np.array([k for k, _ in found], np.int64), np.array([t for _, t in found], np.int64)
-        best = int(np.argmax(idf[terms[:-1]] + idf[terms[1:]])) if len(terms) > 1 else 0
-        codes.append(int(pair_codes(terms[best : best + 2], spots[best : best + 2])[0]) if len(terms) > 1 else -1 - int(terms[0]))
-        which.append(i)
-        offsets.append(int(spots[best]))
+        if len(terms) == 1:
+            own = [(-1 - int(terms[0]), int(spots[0]))]
+        else:
+            pairs, taken = pair_codes(terms, spots), np.zeros(len(x.words), bool)
+            own = []
+            for k in np.argsort(-(idf[terms[:-1]] + idf[terms[1:]]), kind="stable"):
+                reach = slice(spots[k], spots[k + 1] + 1)
+                if not taken[reach].any():
+                    taken[reach] = True
+                    own.append((int(pairs[k]), int(spots[k])))
+                if len(own) == ANCHORS:
+                    break
+        codes += [c for c, _ in own]
+        offsets += [at for _, at in own]
+        which += [i] * len(own)
     order = np.argsort(codes, kind="stable")
     return Anchors(np.array(codes, np.int64)[order], np.array(which, np.int32)[order], np.array(offsets, np.int64)[order])
 
 
 def anchored(b: pa.RecordBatch, anchors: Anchors) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(document, item, half passage) where an item's anchor occurs: all word-for-word leaks, whatever their cosine."""
+    """(document, item, half passage) where an anchor of an item occurs: all leaks with fewer changed words than the item has
+    anchors, word-for-word ones among them, whatever their cosine."""
     terms = [np.frombuffer(x, np.int32) for x in b["terms"].to_pylist()]
     spots = [np.frombuffer(x, np.int32) for x in b["spots"].to_pylist()]
     doc, term, spot = np.repeat(np.arange(len(terms)), [len(x) for x in terms]), np.concatenate(terms), np.concatenate(spots).astype(np.int64)
@@ -273,8 +288,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, answer: str | None = None,
     2. Randomised SVD of the TF-IDF matrix of passages (the items are passages too): A'A is applied twice, each time by a
        pass that adds up terms x (rank + 16) numbers, to a random basis; the driver only sees these.
     3. All passages of 2 * HALF words, HALF apart, are compared with all items in the latent space. Beside these, each
-       place that has an item's rarest pair of neighbouring terms is a candidate (with a null cosine), so that no
-       word-for-word leak hangs on the rank.
+       place that has one of an item's ANCHORS rarest pairs of neighbouring terms is a candidate (with a null cosine),
+       so that no leak that is word for word, or of a short item with a changed word, hangs on the rank.
     4. Candidates are checked on the words: a common subsequence of at least `sure` of the item's words within a window a
        quarter longer; or of `likely` of them if also half of the answer's words are there. The answer is the column
        `answer`, or else the item's three rarest words.
